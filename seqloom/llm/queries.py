@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom import runtime
-from seqloom.llm import bpe, language_id, lz_fingerprint, packing, simhash, token_counts, token_store, toxicity
+from seqloom.llm import bpe, embedding_dedup, language_id, line_dedup, lz_fingerprint, packing, simhash, token_counts, token_store, toxicity
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +29,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.positions(token_store.scan_store(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete later repeats of runs of 2 lines or more, and of lines of 50 words or more."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "removed_lines", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode all documents with the own BPE."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), keep=False)
@@ -57,6 +63,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.CATEGORIES))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.9 or more among all embeddings."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op8_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return lz_fingerprint.compare_edits(table(spark, sf_dir, "documents"))
@@ -75,13 +86,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_line_dedup": op2_line_dedup,
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_lz_fingerprint": op8_lz_fingerprint,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.oracle()}
