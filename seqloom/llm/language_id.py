@@ -30,6 +30,8 @@ PAD = 10
 #: Bytes scored at a time.
 CHUNK_BYTES = 1 << 20
 LETTER = regex.compile(r"\p{L}")
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123)]] = True
 
 
 def held_out(doc_id: Column) -> Column:
@@ -178,38 +180,57 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = spark.sparkContext.broadcast(model or learn(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        states = states_of(m) if m.languages else None
-        letters = np.zeros(256, bool)
-        letters[[*range(65, 91), *range(97, 123)]] = True
         for batch in batches:
-            array = pc.fill_null(batch.column(1), "")
-            sizes = np.asarray(pc.binary_length(array)).astype(np.int64)
-            start = 0
-            while start < len(array):
-                end = max(start + 1, int(np.searchsorted(np.cumsum(sizes[start:]), CHUNK_BYTES)) + start)
-                part, n = array.slice(start, end - start), sizes[start:end]
-                data = np.frombuffer(b"".join(pc.cast(part, pa.binary()).to_pylist()), np.uint8)
-                full = np.flatnonzero(n)
-                has = np.zeros(len(n), bool)
-                if len(full):
-                    has[full] = np.logical_or.reduceat(letters[data], (np.cumsum(n) - n)[full])
-                for i in np.flatnonzero(~has & (n > 0)):  # no ASCII letter
-                    has[i] = LETTER.search(part[int(i)].as_py()) is not None
-                if m.languages:
-                    best, score = posterior(m.bits(data, n, states))
-                    names = [m.languages[b] if h else UNDETERMINED for b, h in zip(best, has, strict=True)]
-                    score = np.where(has, score, 0.0)
-                else:
-                    names, score = [UNDETERMINED] * len(n), np.zeros(len(n))
+            for start, end, names, score in _judged(shared.value, batch.column(1)):
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(start, end - start), "held_out": batch.column(2).slice(start, end - start), "lang_pred": pa.array(names, pa.string()), "score": pa.array(score)})
-                start = end
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
+def _judged(m: Model, texts: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+    """(first row, end row, languages, scores) of a column of texts, some megabytes at a time."""
+    states = states_of(m) if m.languages else None
+    array = pc.fill_null(texts, "")
+    sizes = np.asarray(pc.binary_length(array)).astype(np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < len(array):
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + CHUNK_BYTES)))
+        part, n = array.slice(start, end - start), sizes[start:end]
+        data = np.frombuffer(b"".join(pc.cast(part, pa.binary()).to_pylist()), np.uint8)
+        full = np.flatnonzero(n)
+        has = np.zeros(len(n), bool)
+        if len(full):
+            has[full] = np.logical_or.reduceat(LETTERS[data], (np.cumsum(n) - n)[full])
+        for i in np.flatnonzero(~has & (n > 0)):  # no ASCII letter
+            has[i] = LETTER.search(part[int(i)].as_py()) is not None
+        if m.languages:
+            best, score = posterior(m.bits(data, n, states))
+            yield start, end, [m.languages[b] if h else UNDETERMINED for b, h in zip(best, has, strict=True)], np.where(has, score, 0.0)
+        else:
+            yield start, end, [UNDETERMINED] * len(n), np.zeros(len(n))
+        start = end
+
+
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without those of no language: `und`, or no language with a share of probability of `least`."""
-    good = identify(docs).where(F.col("lang_pred") != UNDETERMINED).where(F.col("score") >= least).select("doc_id").distinct()
-    return docs.join(good, docs.doc_id.eqNullSafe(good.doc_id), "left_semi")
+    """docs, all columns, without the rows of no language: `und`, or no language with a share of probability of `least`. One pass, no shuffle.
+
+    Where nothing can be learned (no labelled language), only texts without a letter go.
+    """
+    spark = docs.sparkSession
+    runtime.ship(spark)
+    shared = spark.sparkContext.broadcast(learn(docs))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for start, end, names, score in _judged(m, batch.column(at)):
+                if m.languages:
+                    good = [x != UNDETERMINED and y >= least for x, y in zip(names, score, strict=True)]
+                else:
+                    good = [LETTER.search(x or "") is not None for x in batch.column(at).slice(start, end - start).to_pylist()]
+                yield batch.slice(start, end - start).filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

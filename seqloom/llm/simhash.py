@@ -224,7 +224,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, blocks
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but one document of each near-duplicate group: that of the smallest doc_id stays (of repeated rows of that id the first by text)."""
-    groups = near_duplicates(docs, **options).select("doc_id", "component_id").distinct()
-    kept = groups.where("component_id is null or doc_id = component_id").select("doc_id")
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """docs, all columns, with one document of each near-duplicate group: that of the smallest doc_id.
+
+    Of several rows of that doc_id one stays. Rows of a null doc_id go if their
+    group has an id and stay if it has none.
+    """
+    groups = runtime.materialize(near_duplicates(docs, **options).select("doc_id", "component_id"))
+    gone = groups.where("component_id is not null and not doc_id <=> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    many = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(many)

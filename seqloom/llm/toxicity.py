@@ -85,7 +85,10 @@ class Linear:
             nw, nb = (ww - step * (z.T @ g + penalty * ww)).astype(np.float32), wb - step * float(g.sum())
             nt = (1 + math.sqrt(1 + 4 * t * t)) / 2
             ww, wb = (nw + (t - 1) / nt * (nw - w)).astype(np.float32), nb + (t - 1) / nt * (nb - b)
+            still = float(np.abs(nw - w).max()) < 1e-4
             w, b, t = nw, nb, nt
+            if still:
+                break
         return cls(mean, scale, w, float(b))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -244,7 +247,7 @@ def classify(docs: DataFrame, chain: Chain) -> DataFrame:
     runtime.ship(spark)
     shared = spark.sparkContext.broadcast(chain)
     names = chain.categories
-    key = (id(shared), shared._jbroadcast.id())
+    key = ("all", shared._jbroadcast.id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
@@ -264,6 +267,21 @@ CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the chain calls toxic (all rows of such a doc_id)."""
-    bad = classify(docs, train(docs, labels, CATEGORIES)).where("toxic").select("doc_id").distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti")
+    """docs, all columns, without the rows that the chain calls toxic. One pass, no shuffle."""
+    spark = docs.sparkSession
+    runtime.ship(spark)
+    chain = train(docs, labels, CATEGORIES)
+    if not chain.models:
+        return docs
+    shared = spark.sparkContext.broadcast(chain)
+    at, key = docs.columns.index("text"), ("drop", shared._jbroadcast.id())
+    toxic = list(CATEGORIES).index("toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for batch in batches:
+            for a, b, texts in chunks(pa.RecordBatch.from_arrays([batch.column(at)], ["text"])):
+                p = c.predict(_vectors(c, texts, key))[:, toxic]
+                yield batch.slice(a, b - a).filter(pa.array(p < c.thresholds[toxic]))
+
+    return docs.mapInArrow(run, docs.schema)
