@@ -32,15 +32,17 @@ WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 MOST_FEATURES = 1024
 FOLDS = 5
+#: Features are hashed to so many places, which bounds every table of them.
+PLACES = 1 << 22
 #: Distinct words that a worker remembers.
 CACHE_WORDS = 300_000
 SHAPES = ("letters", "digits", "capitals", "spaces", "marks", "repeats")
 
 
 def word_features(word: str) -> list[int]:
-    """Signed 64-bit hashes of the word and its prefixes."""
+    """Hashed places of the word and its prefixes."""
     parts = [f"w {word}"] + [f"{k} {word[:k]}" for k in PREFIXES if len(word) >= k]
-    return [h - (1 << 64) if (h := xxhash.xxh64_intdigest(p)) >> 63 else h for p in parts]
+    return [xxhash.xxh32_intdigest(p) % PLACES for p in parts]
 
 
 _ASCII = {name: bytes(sorted(chars)) for name, chars in {"digits": b"0123456789", "capitals": bytes(range(65, 91)), "spaces": b" \t\n\r\f\v", "letters": bytes([*range(65, 91), *range(97, 123), *range(128, 256)])}.items()}
@@ -104,18 +106,27 @@ class Chain:
     thresholds: list[float] = field(default_factory=list)
 
     @classmethod
-    def fit(cls, rows: list[tuple[list[int], list[float]]], labels: np.ndarray, categories: list[str]) -> Chain:
-        """rows: (feature hashes, shapes) a document; labels: a 0/1 column a category. No rows: a chain that finds nothing."""
+    def fit(cls, flat: np.ndarray, sizes: np.ndarray, shape: np.ndarray, labels: np.ndarray, categories: list[str]) -> Chain:
+        """flat: feature places, document after document, `sizes` each; shape: a row a document; labels: a 0/1 column a category. No rows: a chain that finds nothing."""
         chain = cls(list(categories))
+        rows = len(sizes)
         if not rows:
             return chain
-        chain.features = {h: i for i, h in enumerate(_select([r[0] for r in rows], labels))}
-        x = np.stack([chain.vector(h, s) for h, s in rows])
-        fold = np.arange(len(rows)) % FOLDS
+        at = np.repeat(np.arange(rows, dtype=np.int32), sizes)
+        chosen = _select(flat, at, labels)
+        chain.features = {int(h): i for i, h in enumerate(chosen)}
+        column = np.full(PLACES, -1, np.int32)
+        column[chosen] = np.arange(len(chosen), dtype=np.int32)
+        c = column[flat]
+        x = np.zeros((rows, len(chosen) + len(SHAPES)), np.float32)
+        x[at[c >= 0], c[c >= 0]] = 1
+        x[:, len(chosen) :] = shape
+        del at, c, column
+        fold = np.arange(rows) % FOLDS
         for k in range(len(categories)):
             y = labels[:, k].astype(float)
             chain.models.append(Linear.fit(x, y))
-            out = np.zeros(len(rows))
+            out = np.zeros(rows, np.float32)
             for f in range(FOLDS):
                 inside = fold != f
                 if inside.any() and not inside.all():
@@ -126,12 +137,6 @@ class Chain:
             x = np.column_stack([x, out])
         return chain
 
-    def vector(self, hashes, shape: list[float]) -> np.ndarray:
-        v = np.zeros(len(self.features) + len(SHAPES))
-        v[[c for h in hashes if (c := self.features.get(h)) is not None]] = 1
-        v[len(self.features) :] = shape
-        return v
-
     def predict(self, x: np.ndarray) -> np.ndarray:
         """(documents, categories) probabilities."""
         out = np.zeros((len(x), len(self.categories)))
@@ -141,25 +146,24 @@ class Chain:
         return out
 
 
-def _select(rows: list[list[int]], labels: np.ndarray) -> list[int]:
+def _select(flat: np.ndarray, at: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """The strongest features, of those whose likelihood-ratio statistic with a category is hardly met by chance among so many (twice the log of their number)."""
-    flat = np.concatenate([np.array(r, np.int64) for r in rows])
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    values, column = np.unique(flat, return_inverse=True)
-    n, df = len(rows), np.bincount(column, minlength=len(values)).astype(float)
-    best = np.zeros(len(values))
+    n, df = len(labels), np.bincount(flat, minlength=PLACES)
+    number = max(2, int(np.count_nonzero(df)))
+    often = np.flatnonzero(df >= 2)
+    total, best = df[often].astype(float), np.zeros(len(often))
     for y in labels.T:
         pos = y.sum()
         if pos in (0, n):
             continue
-        both = np.bincount(column, weights=y[at], minlength=len(values))
-        g = np.zeros(len(values))
-        for seen, row, col in ((both, df, pos), (df - both, df, n - pos), (pos - both, n - df, pos), (n - df - pos + both, n - df, n - pos)):
+        both = np.bincount(flat[y[at] > 0], minlength=PLACES)[often].astype(float)
+        g = np.zeros(len(often))
+        for seen, row, col in ((both, total, pos), (total - both, total, n - pos), (pos - both, n - total, pos), (n - total - pos + both, n - total, n - pos)):
             expected = row * col / n
             g += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0)
         best = np.maximum(best, 2 * g)
-    order = np.lexsort((values, -best))
-    return values[order[best[order] >= 2 * math.log(max(2, len(values)))][:MOST_FEATURES]].tolist()
+    order = np.lexsort((often, -best))
+    return often[order[best[order] >= 2 * math.log(number)][:MOST_FEATURES]]
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -225,15 +229,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most:
                     hashes.append(sorted({h for w in distinct for h in word_features(w)}))
                     shape.append(shapes(text, words, len(distinct)))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "hashes": pa.array(hashes, pa.list_(pa.int64())), "shape": pa.array(shape, pa.list_(pa.float64()))} | {f"y{i}": part.column(2 + i) for i in range(n)})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "hashes": pa.array(hashes, pa.list_(pa.int32())), "shape": pa.array(shape, pa.list_(pa.float64()))} | {f"y{i}": part.column(2 + i) for i in range(n)})
 
-    kinds = "doc_id bigint, hashes array<bigint>, shape array<double>" + "".join(f", y{i} int" for i in range(n))
+    kinds = "doc_id bigint, hashes array<int>, shape array<double>" + "".join(f", y{i} int" for i in range(n))
     got = rows.select("doc_id", "text", *[f"y{i}" for i in range(n)]).mapInArrow(run, kinds).toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    hashes = [h.values.to_numpy() for h in got.column("hashes")]
-    shape = got.column("shape").to_pylist()
-    y = np.column_stack([got.column(f"y{i}").to_numpy() for i in range(n)]) if len(order) else np.zeros((0, n))
-    return Chain.fit([(hashes[i].tolist(), shape[i]) for i in order], y[order], names)
+    got = got.combine_chunks().sort_by("doc_id")  # folds do not depend on the tasks
+    y = np.column_stack([got.column(f"y{i}").to_numpy() for i in range(n)]) if got.num_rows else np.zeros((0, n), int)
+    hashes = got.column("hashes").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    shape = np.array(got.column("shape").to_pylist(), np.float32).reshape(got.num_rows, len(SHAPES))
+    return Chain.fit(hashes.flatten().to_numpy(zero_copy_only=False), np.asarray(hashes.value_lengths()) if got.num_rows else np.zeros(0, int), shape, y, names)
 
 
 def classify(docs: DataFrame, chain: Chain) -> DataFrame:
