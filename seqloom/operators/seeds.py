@@ -132,10 +132,18 @@ def query_seeds(frames: DataFrame, rules: SeedRules | None = None) -> DataFrame:
 # Native forms, for use inside other plans.
 
 
-def class_codes(classes: Column, position: Column, count: int = LONGEST) -> list[Column]:
-    """Class codes of `count` residues from a 1-based position of a class string (null past its end)."""
-    letter = lambda k: F.substr(classes, position + k, F.lit(1))
-    return [F.when(letter(k) != "", F.conv(letter(k), 16, 10).cast("int")) for k in range(count)]
+def class_windows(rows: DataFrame, keys: list[str], classes: str, count: int = LONGEST) -> DataFrame:
+    """keys, pos (1-based) and class codes c0, c1, ... of the residues from there on (null past the end), for every position.
+
+    The class string becomes an array once a sequence; each position takes a
+    slice of it, so the work is linear in the length.
+    """
+    codes = F.transform(F.split(classes, ""), lambda x: F.call_function("instr", F.lit(codec.CLASS_LETTERS), x) - 1)
+    # Exploding keeps Catalyst from computing the array anew for each position.
+    held = rows.where(F.length(classes) > 0).select(*keys, F.explode(F.array(codes)).alias("_codes"))
+    windows = F.transform(F.sequence(F.lit(1), F.size("_codes")), lambda i: F.slice("_codes", i, count))
+    spread = held.select(*keys, F.posexplode(windows).alias("_p", "_w"))
+    return spread.select(*keys, (F.col("_p") + 1).alias("pos"), *[F.get("_w", F.lit(k)).alias(f"c{k}") for k in range(count)])
 
 
 def variable_hash(codes: list[Column], rules: SeedRules | None = None) -> Column:

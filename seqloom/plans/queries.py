@@ -237,13 +237,10 @@ def range_lookup_subject(spark, sf_dir):
 # Seeds.
 
 
-def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = proteins(spark, sf_dir).select("doc_id", codec.reduce(F.col("seq")).alias("cls")).where("cls <> ''")
-    return rows.select("doc_id", "cls", F.explode(F.sequence(F.lit(1), F.length("cls"))).alias("pos"))
-
-
-def _codes(rows: DataFrame, count: int) -> DataFrame:
-    return rows.select("doc_id", "pos", *[c.alias(f"c{k}") for k, c in enumerate(seeds.class_codes(F.col("cls"), F.col("pos"), count))])
+def _codes(spark: SparkSession, sf_dir: str, count: int) -> DataFrame:
+    """A row a position of all documents with `count` class codes."""
+    rows = proteins(spark, sf_dir).select("doc_id", codec.reduce(F.col("seq")).alias("cls"))
+    return seeds.class_windows(rows, ["doc_id"], "cls", count)
 
 
 @query(f"""with {_sql_protein()}, {_sql_classes()}, {_sql_codes("c", "doc_id", "k", 6)}
@@ -251,7 +248,7 @@ select doc_id, count(*) as n, sum(c0 * 1048576 + c1 * 65536 + c2 * 4096 + c3 * 2
 where {" and ".join(f"c{i} <= {REDUCED.max_code}" for i in range(6))} group by doc_id""")
 def kmer_hash_fixed(spark, sf_dir):
     """Fixed hashes of six classes at every position of all documents: count and sum."""
-    rows = _codes(_positions(spark, sf_dir), 6)
+    rows = _codes(spark, sf_dir, 6)
     every = [F.col(f"c{k}") for k in range(6)]
     good = rows.where(" and ".join(f"c{k} <= {REDUCED.max_code}" for k in range(6)))
     return good.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(seeds.fixed_hash(every)).alias("hash_sum"))
@@ -263,7 +260,7 @@ _SQL_SEEDS = f'{_sql_protein()}, {_sql_classes()}, {_sql_codes("c", "doc_id", "k
 @query(f"with {_SQL_SEEDS} select doc_id, count(*) as n, sum(hash)::bigint as hash_sum, sum(seed_len)::bigint as length_sum from s group by doc_id")
 def kmer_hash_variable(spark, sf_dir):
     """Variable-length hashes at every position, as native expressions."""
-    rows = _codes(_positions(spark, sf_dir), 8)
+    rows = _codes(spark, sf_dir, 8)
     h = rows.select("doc_id", seeds.variable_hash([F.col(f"c{k}") for k in range(8)]).alias("s")).where("s is not null")
     return h.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("s.hash").alias("hash_sum"), F.sum("s.seed_len").cast("bigint").alias("length_sum"))
 
@@ -280,7 +277,7 @@ def nested_seed_elimination(spark, sf_dir):
 @query(f"with {_SQL_SEEDS}, {_SQL_NESTED} select doc_id, count(*) as n, sum(p)::bigint as pos_sum from kept group by doc_id")
 def nested_seed_window(spark, sf_dir):
     """The same elimination as a window over native hashes."""
-    rows = _codes(_positions(spark, sf_dir), 8)
+    rows = _codes(spark, sf_dir, 8)
     h = rows.select(F.col("doc_id").alias("seq_id"), "pos", seeds.variable_hash([F.col(f"c{k}") for k in range(8)]).alias("s")).where("s is not null").select("seq_id", "pos", "s.seed_len")
     return seeds.nested_elimination(h).groupBy(F.col("seq_id").alias("doc_id")).agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"))
 
@@ -291,7 +288,7 @@ n as (select hash, hash + (code - (hash // (16 ** place)::bigint) % 16) * (16 **
 select hash::bigint as hash, count(*) as neighbours, sum(neighbour)::bigint as neighbour_sum from n where code <> now group by hash""")
 def one_mismatch_neighbours(spark, sf_dir):
     """Neighbourhoods of all distinct fixed hashes of three classes."""
-    rows = _codes(_positions(spark, sf_dir), 3).where(f"c0 <= {REDUCED.max_code} and c1 <= {REDUCED.max_code} and c2 <= {REDUCED.max_code}")
+    rows = _codes(spark, sf_dir, 3).where(f"c0 <= {REDUCED.max_code} and c1 <= {REDUCED.max_code} and c2 <= {REDUCED.max_code}")
     h = rows.select(seeds.fixed_hash([F.col(f"c{k}") for k in range(3)]).alias("hash")).distinct()
     return seeds.one_mismatch(h, 3, REDUCED.max_code).groupBy("hash").agg(F.count("*").alias("neighbours"), F.sum("neighbour").alias("neighbour_sum"))
 
