@@ -39,10 +39,11 @@ class SearchOptions:
 
 def frames_of(queries: DataFrame, dna: bool) -> DataFrame:
     """query_id, name, base_len, frames: a protein is its own frame 0; DNA has six frames, none below 3 letters."""
+    seq = F.coalesce("seq", F.lit(""))
     if dna:
-        return queries.select("query_id", "name", F.length("seq").alias("base_len"), codec.six_frames(F.col("seq")).alias("frames"))
-    own = F.array(F.struct(F.lit(0).alias("frame"), codec.normalize(F.col("seq")).alias("seq")))
-    return queries.select("query_id", "name", F.length("seq").alias("base_len"), own.alias("frames"))
+        return queries.select("query_id", "name", F.length(seq).alias("base_len"), codec.six_frames(seq).alias("frames"))
+    own = F.array(F.struct(F.lit(0).alias("frame"), codec.normalize(seq).alias("seq")))
+    return queries.select("query_id", "name", F.length(seq).alias("base_len"), own.alias("frames"))
 
 
 def prepare(queries: DataFrame, dna: bool, options: SearchOptions) -> DataFrame:

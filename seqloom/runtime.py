@@ -79,6 +79,13 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Spark's estimate for data of unknown size (not read from files) is beyond this.
+UNKNOWN_BYTES = 1 << 56
+
+
 def partitions_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 1) -> int:
-    """Partitions of about bytes_each of stored input."""
-    return max(least, math.ceil(input_bytes(df) / bytes_each))
+    """Partitions of about bytes_each of stored input; the session's shuffle partitions where the size is unknown."""
+    size = input_bytes(df)
+    if size >= UNKNOWN_BYTES:
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, math.ceil(size / bytes_each))

@@ -23,16 +23,16 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     first = raw.where("block = 0").groupBy("file").agg(F.min("seq_id").alias("head"))
     marked = raw.join(first.select(F.col("head").alias("seq_id"), F.lit(True).alias("head")), "seq_id", "left")
     rows = marked.where("head is null or r like '>%'")
-    header = F.regexp_replace(F.substring_index("r", "\n", 1), r"^[> ]*|\r$", "")
+    header = F.regexp_replace(F.regexp_replace(F.substring_index("r", "\n", 1), r"\r$", ""), r"^[> ]+", "")
     lines = F.slice(F.split("r", "\n"), 2, F.greatest(F.size(F.split("r", "\n")) - 1, F.lit(0)))
     seq = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), "")
     return rows.select("seq_id", header.alias("name"), F.upper(seq).alias("seq"))
 
 
 def with_dense_ids(sequences: DataFrame, name: str = "seq_id") -> DataFrame:
-    """seq_id counted 0, 1, 2 ... in order, from counts by task and a running sum over tasks."""
+    """seq_id counted 0, 1, 2 ... in order: ranks within each read task's rows plus a running sum of counts over tasks."""
     part = F.shiftright(F.col(name), 33)
-    rows = sequences.withColumn("_part", part).withColumn("_row", F.col(name).bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = sequences.withColumn("_part", part).withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(name)) - 1)
     counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     base = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     return rows.join(base, "_part").withColumn(name, (F.col("_base") + F.col("_row")).cast("bigint")).drop("_part", "_row", "_base")
