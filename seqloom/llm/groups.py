@@ -37,6 +37,19 @@ def blocked(rows: DataFrame, key: str, member: str, block_rows: int = BLOCK_ROWS
     return dealt.withColumn("lo", F.least("block", "_j")).withColumn("hi", F.greatest("block", "_j")).drop("_nb", "_j")
 
 
+def split_hot(rows: DataFrame, keys: DataFrame, key: str, member: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """As blocked(), but rows move once: `keys` has the keys alone, and only those of more than block_rows rows are joined to rows.
+
+    Keys that occur once stay. The table of hot keys is written first, so its size is
+    known; where it is small, Spark sends it to the rows instead of dealing rows out.
+    """
+    hot = runtime.materialize(keys.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > block_rows).select(F.col(key), F.ceil(F.col("_n") / F.lit(block_rows)).cast("int").alias("_nb")))
+    joined = rows.join(hot, key, "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
+    withblock = joined.withColumn("block", F.pmod(F.xxhash64(member), F.col("_nb")).cast("int"))
+    dealt = withblock.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    return dealt.withColumn("lo", F.least("block", "_j")).withColumn("hi", F.greatest("block", "_j")).drop("_nb", "_j")
+
+
 def by_group(rows: DataFrame, keys: list[str], order: list[str], partitions: int, fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply fn(table, group starts) to whole groups; a table holds complete, adjacent groups.
 

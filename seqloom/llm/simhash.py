@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom import runtime
-from seqloom.llm.groups import blocked, by_group, components
+from seqloom.llm.groups import blocked, by_group, components, split_hot
 from seqloom.llm.texts import chunks
 
 SEED = 42
@@ -155,8 +155,8 @@ def stars(fps: np.ndarray, distance: int) -> list[np.ndarray]:
     return found
 
 
-def sampled_keys(classes: DataFrame, bits: int, tables: int, length: int) -> DataFrame:
-    """key, node, fingerprint: for each of `tables` fixed samples of `length` bit positions, its number and bits."""
+def sampled_keys(classes: DataFrame, bits: int, tables: int, length: int, alone: bool = False) -> DataFrame:
+    """key, node, fingerprint (alone: key only): for each of `tables` fixed samples of `length` bit positions, its number and bits."""
     draw = np.random.default_rng(SEED)
     places = np.stack([draw.choice(bits, length, replace=False) for _ in range(tables)])
     weights = (np.uint64(1) << np.arange(length, dtype=np.uint64)).astype(np.uint64)
@@ -168,15 +168,18 @@ def sampled_keys(classes: DataFrame, bits: int, tables: int, length: int) -> Dat
                 flat = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
                 on = np.unpackbits(flat, axis=1, bitorder="little")
                 keys = np.stack([(on[:, p].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) | np.uint64(t << length) for t, p in enumerate(places)])
+                if alone:
+                    yield pa.RecordBatch.from_pydict({"key": keys.reshape(-1).view(np.int64)})
+                    continue
                 rows = np.tile(np.arange(part.num_rows), tables)
                 yield pa.RecordBatch.from_pydict({"key": keys.reshape(-1).view(np.int64), "node": part.column(0).take(pa.array(rows)), "fingerprint": part.column(1).take(pa.array(rows))})
 
-    return classes.select("node", "fingerprint").mapInArrow(run, "key bigint, node bigint, fingerprint binary")
+    return classes.select("node", "fingerprint").mapInArrow(run, "key bigint" + ("" if alone else ", node bigint, fingerprint binary"))
 
 
 def wide_plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
-    """(tables, bits a table): keys long enough that chance groups stay small among n fingerprints, tables enough for the recall at the similarity."""
-    length = max(8, min(40, math.ceil(math.log2(max(2, n))) - 1))
+    """(tables, bits a table): keys long enough that chance groups of n fingerprints stay at some tens, tables enough for the recall at the similarity."""
+    length = max(16, min(40, math.ceil(math.log2(max(2, n))) - 4))
     share = (1 - flip_rate(similarity)) ** length
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - share))), length
 
@@ -207,18 +210,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, blocks
     classes = runtime.materialize(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("node", F.coalesce(F.col("least"), F.xxhash64("fingerprint").bitwiseOR(F.lit(-(1 << 63))))))
     if similarity is None:
         distance = max_bits
-        rows = classes.select(F.explode(block_keys(F.col("fingerprint"), max_bits, blocks)).alias("key"), "node", "fingerprint")
+        dealt = blocked(classes.select(F.explode(block_keys(F.col("fingerprint"), max_bits, blocks)).alias("key"), "node", "fingerprint"), "key", "node")
     else:
         bits, rate = 64 * words, flip_rate(similarity)
         distance = math.floor(bits * rate + math.sqrt(bits * rate * (1 - rate)))
         tables, length = wide_plan(classes.count(), similarity, recall)
-        rows = sampled_keys(classes, bits, tables, length)
-    partitions = max(runtime.partitions_for(classes, 1 << 20), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = runtime.materialize(rows) if width > 1 else rows
-    links = by_group(blocked(rows, "key", "node"), ["key", "lo", "hi"], [], partitions, lambda t, s: group_links(t, s, distance), "a bigint, b bigint")
+        dealt = split_hot(sampled_keys(classes, bits, tables, length), sampled_keys(classes, bits, tables, length, alone=True), "key", "node")
+    partitions = max(runtime.partitions_for(classes, 1 << 19), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    links = by_group(dealt, ["key", "lo", "hi"], [], partitions, lambda t, s: group_links(t, s, distance), "a bigint, b bigint")
     found = components(links)
-    if width > 1:
-        runtime.drop(rows)
     home = classes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "least").alias("component_id"))
     return marked.join(home, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
