@@ -67,7 +67,7 @@ class Model:
             p2 = cls._escape(cls._count(pairs, g >> np.uint32(8) & np.uint32(0xFFFF), byte), p1[(pairs & np.uint32(0xFF)).astype(np.int64)])
             p3 = cls._escape(cls._count(triples, g >> np.uint32(8), byte), p2[np.searchsorted(pairs, triples & np.uint32(0xFFFF))])
             cost[i] = -np.log2(np.concatenate([p0, p1, p2, p3]))
-        return cls(languages, pairs, triples, cost.reshape(len(languages), -1))
+        return cls(languages, pairs, triples, cost.reshape(len(languages), cost.shape[1] * 256))
 
     @classmethod
     def _grams(cls, texts: list[bytes]) -> np.ndarray:
