@@ -30,36 +30,39 @@ def _words(line: Column) -> Column:
 
 
 def windows(docs: DataFrame, window: int, long_words: int) -> DataFrame:
-    """ord, th, fp, key, lines: each window of lines that are not blank, with its least hash and the hash of all."""
-    lines = F.split("text", "\n")
-    base = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("ord"), F.xxhash64("text").alias("th"), F.transform(lines, lambda x, i: F.struct(i.alias("i"), _trimmed(x).alias("x"))).alias("all"))
-    entries = F.transform(F.filter("all", lambda e: e["x"] != ""), lambda e: F.struct(e["i"].alias("i"), F.xxhash64(e["x"]).alias("h"), (_words(e["x"]) >= long_words).alias("long")))
+    """ord, th, fp, key, at, n: each window of lines that are not blank, with its least hash, the hash of all, its first line and its number of lines.
+
+    Lines are numbered 0, 1, ... among those that are not blank.
+    """
+    x = F.filter(F.transform(F.split("text", "\n"), _trimmed), lambda e: e != "")
+    base = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("ord"), F.xxhash64("text").alias("th"), x.alias("x"))
+    entries = F.transform("x", lambda e: F.struct(F.xxhash64(e).alias("h"), (_words(e) >= long_words).alias("long")))
     # Exploding keeps Catalyst from repeating the expression for each use below.
     held = base.select("ord", "th", F.explode(F.array(entries)).alias("e"))
-    n = F.size("e")
-    runs = F.when(n >= window, F.transform(F.slice("e", 1, F.greatest(n - window + 1, F.lit(0))), lambda x: F.struct(F.array(x["i"]).alias("lines"), F.array(x["h"]).alias("hs")))).otherwise(F.array().cast("array<struct<lines:array<int>,hs:array<bigint>>>"))
+    count = F.greatest(F.size("e") - window + 1, F.lit(0))
+    runs = F.transform(F.slice("e", 1, count), lambda a, i: F.struct(i.alias("at"), F.array(a["h"]).alias("hs")))
     for k in range(1, window):
-        nxt = F.slice("e", k + 1, F.greatest(n - window + 1, F.lit(0)))
-        runs = F.zip_with(runs, nxt, lambda r, x: F.struct(F.concat(r["lines"], F.array(x["i"])).alias("lines"), F.concat(r["hs"], F.array(x["h"])).alias("hs")))
-    single = F.transform(F.filter("e", lambda x: x["long"]), lambda x: F.struct(F.array(x["i"]).alias("lines"), F.array(x["h"]).alias("hs")))
+        runs = F.zip_with(runs, F.slice("e", k + 1, count), lambda r, a: F.struct(r["at"].alias("at"), F.concat(r["hs"], F.array(a["h"])).alias("hs")))
+    single = F.filter(F.transform("e", lambda a, i: F.struct(F.when(a["long"], i).alias("at"), F.array(a["h"]).alias("hs"))), lambda r: r["at"].isNotNull())
     rows = held.select("ord", "th", F.explode(F.concat(runs, single)).alias("r"))
-    return rows.select("ord", "th", F.array_min("r.hs").alias("fp"), F.xxhash64("r.hs").alias("key"), F.col("r.lines").alias("lines"))
+    return rows.select("ord", "th", F.array_min("r.hs").alias("fp"), F.xxhash64("r.hs").alias("key"), F.col("r.at").alias("at"), F.size("r.hs").alias("n"))
 
 
 def repeated_lines(docs: DataFrame, window: int = 2, long_words: int = 50) -> DataFrame:
-    """ord, th, gone: the numbers of the lines to delete, for documents that have any.
+    """ord, th, gone: the numbers (among lines that are not blank) to delete, for documents that have any.
 
     Positions are ordered by doc_id (null first), text hash and line; all but the
     first of equal windows are deleted. Rows of the same doc_id and text are one
     document given twice and get the same lines.
     """
     spread = runtime.materialize(windows(docs, window, long_words))
-    at = F.xxhash64("ord", "th", F.element_at("lines", 1))
-    prints = spread.groupBy("fp").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("fp")
-    matched = spread.join(prints, "fp", "left_semi").select("key", F.struct("ord", "th", F.element_at("lines", 1).alias("i")).alias("at"), "lines")
-    first = matched.groupBy("key").agg(F.min("at").alias("first"))
-    later = matched.join(first, "key").where(F.col("at") > F.col("first"))
-    return later.groupBy(F.col("at.ord").alias("ord"), F.col("at.th").alias("th")).agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
+    place = F.xxhash64("ord", "th", "at")
+    prints = spread.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
+    matched = spread.join(prints, "fp", "left_semi").select("key", F.struct("ord", "th", "at").alias("p"), "n")
+    first = matched.groupBy("key").agg(F.min("p").alias("first"))
+    later = matched.join(first, "key").where(F.col("p") > F.col("first"))
+    lines = F.sequence(F.col("p.at"), F.col("p.at") + F.col("n") - 1)
+    return later.groupBy(F.col("p.ord").alias("ord"), F.col("p.th").alias("th")).agg(F.array_distinct(F.flatten(F.collect_set(lines))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, window: int = 2, long_words: int = 50) -> DataFrame:
@@ -72,15 +75,18 @@ def dedup_lines(docs: DataFrame, window: int = 2, long_words: int = 50) -> DataF
     removed_lines. A null text stays null with 0 lines; an empty text has one
     blank line. If every line goes, the text is empty. An empty table gives none.
     """
-    gone = repeated_lines(docs, window, long_words).select(F.col("ord").alias("_ord"), F.col("th").alias("_th"), "gone").withColumnRenamed("gone", "_gone")
+    gone = repeated_lines(docs, window, long_words).select(F.col("ord").alias("_ord"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "removed_lines")]
-    # Split before the join: below it the lines are a column and not an expression to repeat.
-    rows = docs.select(*rest, F.split("text", "\n").alias("_lines"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("_o"), F.xxhash64("text").alias("_t"))
+    rows = docs.select(*rest, F.col("text").alias("_text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("_o"), F.xxhash64("text").alias("_t"))
     both = rows.join(gone, (F.col("_o") == F.col("_ord")) & (F.col("_t") == F.col("_th")), "left")
-    n = F.size("_lines")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone")), lambda i: F.element_at("_lines", i + 1))
+    # Exploding makes the lines a column, not an expression to repeat for each line.
+    split = both.select(*rest, "_gone", F.explode(F.array(F.split("_text", "\n"))).alias("_lines"))
+    filled = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: _trimmed(F.element_at("_lines", i + 1)) != "")
+    marked = split.select(*rest, "_lines", F.explode(F.array(F.when(F.col("_gone").isNotNull(), filled))).alias("_filled"), "_gone")
+    drop = F.transform("_gone", lambda i: F.element_at("_filled", i + 1))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), drop), lambda i: F.element_at("_lines", i + 1))
     text = F.when(F.col("_lines").isNull(), F.lit(None)).when(F.col("_gone").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(kept, "\n"))
-    out = both.select(*rest, text.alias("text"), F.when(F.col("_lines").isNull(), 0).otherwise(n).cast("bigint").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("removed_lines"))
+    out = marked.select(*rest, text.alias("text"), F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("bigint").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("removed_lines"))
     order = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
     return out.select(*order, "n_lines", "removed_lines")
 
