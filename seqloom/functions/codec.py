@@ -42,11 +42,13 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def translate_frame(dna: Column, offset: int) -> Column:
-    """Amino acids of one forward frame; a codon with an unknown letter gives X, stops give *."""
-    count = F.floor((F.length(dna) - offset) / 3).cast("int")
+    """Amino acids of one forward frame; a codon with an unknown letter gives X, stops give *.
+
+    The string is cut into codons once, so the work is linear in its length.
+    """
     table = F.create_map(*[x for k, v in CODONS.items() for x in (F.lit(k), F.lit(v))])
-    codon = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.coalesce(table[F.substr(dna, i * 3 + (offset + 1), F.lit(3))], F.lit(PROTEIN.unknown)))
-    return F.when(count > 0, F.array_join(codon, "")).otherwise(F.lit(""))
+    codons = F.regexp_extract_all(F.substr(dna, F.lit(offset + 1)), F.lit("(...)"), F.lit(1))
+    return F.coalesce(F.array_join(F.transform(codons, lambda c: F.coalesce(table[c], F.lit(PROTEIN.unknown))), ""), F.lit(""))
 
 
 def six_frames(seq: Column) -> Column:

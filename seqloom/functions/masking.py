@@ -51,24 +51,26 @@ def _trim(places: np.ndarray) -> tuple[int, int]:
     """(start, end) of the sub-window that is least likely by chance, at most MOST_TRIM residues shorter."""
     n = len(places)
     counts = _running(places)
-    best, start, end = 1.0, 0, n
-    for length in range(n, max(1, n - MOST_TRIM), -1):
-        c = counts[length:] - counts[:-length]
-        permutations = _ln_factorial(np.array([length]))[0] - _ln_factorial(c).sum(axis=1)
-        assignments = np.full(len(c), _ln_factorial(np.array([20]))[0])
-        ordered = np.sort(c, axis=1)
-        some = ordered[:, -1] > 0
-        same = np.zeros(len(c), np.int64)  # size of the class of equal counts so far
-        for k in range(len(LETTERS)):
-            new = np.ones(len(c), bool) if k == 0 else ordered[:, k] != ordered[:, k - 1]
-            assignments -= np.where(new & some, _ln_factorial(same), 0)
-            same = np.where(new, 1, same + 1)
-        assignments -= np.where(some, _ln_factorial(same), 0)
-        p = assignments + permutations - length * _LN20
-        i = int(p.argmin())
-        if p[i] < best:
-            best, start, end = float(p[i]), i, i + length
-    return start, end
+    lengths = np.arange(n, max(1, n - MOST_TRIM), -1)
+    if not len(lengths):
+        return 0, n
+    # All windows, longest first and then from left to right: the first of the least likely ones counts.
+    length = np.repeat(lengths, n - lengths + 1)
+    start = np.concatenate([np.arange(n - k + 1) for k in lengths])
+    c = counts[start + length] - counts[start]
+    permutations = _ln_factorial(length) - _ln_factorial(c).sum(axis=1)
+    assignments = np.full(len(c), _ln_factorial(np.array([20]))[0])
+    ordered = np.sort(c, axis=1)
+    some = ordered[:, -1] > 0
+    same = np.ones(len(c), np.int64)  # size of the class of equal counts so far
+    for k in range(1, len(LETTERS)):
+        new = ordered[:, k] != ordered[:, k - 1]
+        assignments -= np.where(new & some, _FACTORIALS[same], 0)
+        same = np.where(new, 1, same + 1)
+    assignments -= np.where(some, _FACTORIALS[same], 0)
+    p = assignments + permutations - length * _LN20
+    i = int(p.argmin())
+    return (int(start[i]), int(start[i] + length[i])) if p[i] < 1 else (0, n)
 
 
 def segments(places: np.ndarray, offset: int = 0) -> list[tuple[int, int]]:

@@ -44,7 +44,7 @@ def masked(sequences: DataFrame) -> DataFrame:
             out = [m if (m := masking.mask(s or "")) is not None else "x" * len(s or "") for s in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"seq_id": batch.column(0), "masked": pa.array(out, pa.string())})
 
-    return sequences.select(F.col("seq_id").cast("bigint"), "seq").mapInArrow(run, "seq_id bigint, masked string")
+    return runtime.spread(sequences.select(F.col("seq_id").cast("bigint"), "seq")).mapInArrow(run, "seq_id bigint, masked string")
 
 
 def karlin_parameters(queries: DataFrame, matrix: ScoreMatrix = BLOSUM62) -> DataFrame:

@@ -157,10 +157,7 @@ def presearch(pairs: DataFrame, options: SearchOptions) -> DataFrame:
                 names = ["query_id", "frame", "seq_id", "score", "q_start", "q_end", "s_start", "s_end", "q_hit", "s_hit"]
                 yield pa.RecordBatch.from_pydict({k: pa.array(c, pa.int64() if k in ("query_id", "seq_id") else pa.int32()) for k, c in zip(names, zip(*out, strict=True), strict=True)})
 
-    # Few bytes make much work here: spread pairs evenly instead of by size.
-    spark = pairs.sparkSession
-    even = pairs.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return even.mapInArrow(run, "query_id bigint, frame int, seq_id bigint, score int, q_start int, q_end int, s_start int, s_end int, q_hit int, s_hit int")
+    return runtime.spread(pairs).mapInArrow(run, "query_id bigint, frame int, seq_id bigint, score int, q_start int, q_end int, s_start int, s_end int, q_hit int, s_hit int")
 
 
 def final_alignments(chosen: DataFrame, frames: DataFrame, sequences: DataFrame, options: SearchOptions) -> DataFrame:

@@ -89,3 +89,9 @@ def partitions_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 1) ->
     if size >= UNKNOWN_BYTES:
         return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return max(least, math.ceil(size / bytes_each))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly, for kernels whose work is large against the bytes that they read."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
