@@ -498,8 +498,13 @@ def homology_search_stored(spark, sf_dir):
 
 @query()
 def homology_search_translated(spark, sf_dir):
-    """All passages' DNA letters in six frames against all documents' proteins."""
-    dna = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("item_id").cast("string").alias("name"), letters("[^ACGTacgt]").alias("seq"))
+    """All passages as DNA, a codon a residue, in six frames against all documents' proteins."""
+    first = {}
+    for codon, residue in CODONS.items():
+        first.setdefault(residue, codon)
+    table = F.create_map(*[x for residue, codon in first.items() for x in (F.lit(residue), F.lit(codon))])
+    codons = F.transform(F.split("seq", ""), lambda c: F.when(c != "", F.coalesce(table[c], F.lit("NNN"))).otherwise(F.lit("")))
+    dna = passages(spark, sf_dir).select("query_id", "name", F.array_join(codons, "").alias("seq"))
     return _report(homology.search(database.build(subjects(spark, sf_dir)), dna, dna=True))
 
 
