@@ -76,8 +76,10 @@ def _sql_classes(source: str = "p", name: str = "c", key: str = "doc_id") -> str
 
 def _sql_codes(source: str, key: str, name: str, count: int) -> str:
     """A row a position with class codes c0.. (null past the end)."""
-    cells = ", ".join(f"case when p + {k} <= n then strpos('{codec.CLASS_LETTERS[:16]}', substr(cls, (p + {k})::bigint, 1)) - 1 end as c{k}" for k in range(count))
-    return f"{name} as (select {key}, n, cls, p, {cells} from (select *, unnest(range(1, n + 1)) as p from {source}))"
+    after = "".join(f", lead(c0, {k}) over w as c{k}" for k in range(1, count))
+    return f"""{name}_l as (select {key}, n, unnest(string_split(cls, '')) as ch, unnest(range(1, n + 1)) as p from {source} where n > 0),
+{name}_n as (select {key}, n, p, strpos('{codec.CLASS_LETTERS[:16]}', ch) - 1 as c0 from {name}_l),
+{name} as (select {key}, n, p, c0{after} from {name}_n window w as (partition by {key} order by p))"""
 
 
 def _sql_hash(source: str, key: str, name: str) -> str:
@@ -91,7 +93,7 @@ def _sql_hash(source: str, key: str, name: str) -> str:
     pick = f"case when s6 >= 39 then 6 when not {valid(7)} then 0 when s7 >= 39 then 7 else 8 end"
     return f"""{name}_a as (select *, {total(6)} as s6, {total(7)} as s7 from {source} where {head} and {valid(6)}),
 {name}_b as (select *, {pick} as seed_len from {name}_a),
-{name} as (select {key}, n, cls, p, seed_len, case seed_len when 6 then {value(6)} when 7 then {value(7)} else {value(8)} end as hash from {name}_b where seed_len > 0)"""
+{name} as (select {key}, n, p, seed_len, case seed_len when 6 then {value(6)} when 7 then {value(7)} else {value(8)} end as hash from {name}_b where seed_len > 0)"""
 
 
 # Encoding.
@@ -311,8 +313,8 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_QUERY_SEEDS = f"""{_sql_protein("benchmark", "item_id", "qp")}, {_sql_classes("qp", "qc", "item_id")}, {_sql_codes("qc", "item_id", "qk", 8)}, {_sql_hash("qk", "item_id", "qa")},
-qs as (select item_id, n as qn, cls as qcls, p as qpos, hash, (p - 1 >= 5 and p - 1 < n - 5) as checked from qa where n >= 10)"""
-_SQL_MATCHES = f"{_SQL_SEEDS}, {_SQL_NESTED}, {_SQL_QUERY_SEEDS}, j as (select item_id, doc_id, qpos, kept.p as spos, checked, n as sn, substr(qcls, (qpos - 5)::bigint, 10) as qctx, substr(cls, (kept.p - 5)::bigint, 10) as sctx from qs join kept on qs.hash = kept.hash)"
+qs as (select item_id, n as qn, p as qpos, hash, (p - 1 >= 5 and p - 1 < n - 5) as checked from qa where n >= 10)"""
+_SQL_MATCHES = f"{_SQL_SEEDS}, {_SQL_NESTED}, {_SQL_QUERY_SEEDS}, j0 as (select item_id, doc_id, qpos, kept.p as spos, checked, n as sn from qs join kept on qs.hash = kept.hash), j as (select j0.*, substr(qc.cls, (qpos - 5)::bigint, 10) as qctx, substr(c.cls, (spos - 5)::bigint, 10) as sctx from j0 join qc on j0.item_id = qc.item_id join c on j0.doc_id = c.doc_id)"
 _SQL_NEAR = f"{_SQL_MATCHES}, near as (select *, hamming(qctx, sctx) as distance from j where checked and spos - 1 >= 5 and spos - 1 + 5 <= sn)"
 
 
@@ -371,13 +373,13 @@ def rank_alignments(spark, sf_dir):
     return ranking.top_k(ranking.cap_per_subject(_runs(spark, sf_dir), 1), 10).select(F.col("query_id").alias("item_id"), F.col("seq_id").alias("doc_id"), "score", F.col("rank").cast("int").alias("rank"))
 
 
-@query(f"""with {_SQL_RUNS}, many as (select *, row_number() over (partition by item_id, doc_id order by {_SQL_ORDER}) as r from runs where score >= 3)
+@query(f"""with {_SQL_RUNS}, many as (select *, row_number() over (partition by item_id, doc_id order by {_SQL_ORDER}) as r from runs)
 select b.item_id, count(*) as held from many b where exists (select 1 from many a where a.item_id = b.item_id and a.doc_id = b.doc_id and a.r < b.r and (
  (a.qs = b.qs and a.ss = b.ss) or (a.qe = b.qe and a.se = b.se) or (a.qs <= b.qs and a.qe >= b.qe and a.ss <= b.ss and a.se >= b.se))) group by b.item_id""")
 def containment_filter(spark, sf_dir):
-    """Candidates of three hits or more that a better one of the same pair of sequences holds."""
+    """Candidates that a better one of the same pair of sequences holds."""
     w = Window.partitionBy("query_id", "seq_id").orderBy(*ranking.order())
-    many = _runs(spark, sf_dir).where("score >= 3").withColumn("r", F.row_number().over(w))
+    many = _runs(spark, sf_dir).withColumn("r", F.row_number().over(w))
     a, b = many.alias("a"), many.alias("b")
     same = (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.seq_id") == F.col("b.seq_id")) & (F.col("a.r") < F.col("b.r"))
     return b.join(a, same & ranking.contains("a", "b"), "left_semi").groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("held"))
