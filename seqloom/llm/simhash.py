@@ -230,7 +230,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     group has an id and stay if it has none.
     """
     groups = runtime.materialize(near_duplicates(docs, **options).select("doc_id", "component_id"))
-    gone = groups.where("component_id is not null and not doc_id <=> component_id").select("doc_id").distinct()
+    # Written first, so its size is known before the texts are dealt out: few ids are sent to them instead.
+    gone = runtime.materialize(groups.where("component_id is not null and not doc_id <=> component_id").select("doc_id").distinct())
     kept = docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
