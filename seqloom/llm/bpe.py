@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -23,12 +24,17 @@ import regex
 from pyspark.sql import DataFrame
 
 from seqloom import runtime
-from seqloom.llm.texts import chunks
+from seqloom.llm.texts import Splitter, chunks
 
 #: Distinct pre-tokens that a worker remembers before it starts afresh (bounds its memory; changes no result).
 CACHE_WORDS = 300_000
 #: Unicode White_Space, which is what \s means in the tokenizer file.
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
+SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+#: The pattern of the word tokenizer, and the same for texts of Latin-1 letters in lower case, where the classes are short lists.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS, _NUMBERS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xc0-\xd6\xd8-\xde", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}{SPACE}]+")
 
 
 def byte_letters() -> list[str]:
@@ -44,8 +50,8 @@ class Rules:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, pre = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
-        steps = [(x["type"], x.get("content")) for x in spec["normalizer"]["normalizers"]]
+        model, pre = spec["model"], spec["pre_tokenizer"].get("pretokenizers", [])
+        steps = [(x["type"], x.get("content")) for x in (spec["normalizer"] or {}).get("normalizers", [])]
         known = (
             model["type"] == "BPE"
             and steps == [("NFC", None), ("Replace", " "), ("Lowercase", None)]
@@ -65,7 +71,8 @@ class Rules:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
         self._added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self._words = regex.compile(pre[0]["pattern"]["Regex"].replace(r"\s", SPACE))
+        self._latin = pre[0]["pattern"]["Regex"] == WORDS
+        self._words = Splitter(pre[0]["pattern"]["Regex"].replace(r"\s", SPACE))
         self.letters = byte_letters()
 
     @staticmethod
@@ -77,17 +84,33 @@ class Rules:
                 return "".join(c.lower() for c in text)
         return text.lower()
 
+    def _split(self, text: str) -> list[str]:
+        text = self.normal(text)
+        if self._latin and is_latin(text):
+            return LATIN.findall(text)
+        return self._words.findall(text)
+
     def words(self, text: str) -> list[str]:
         """Pre-tokens in order; an added token stands among them as its own string."""
-        if self._added and "<" in text and (parts := self._added.split(text)):
+        if self._added and "<" in text and len(parts := self._added.split(text)) > 1:
             out: list[str] = []
             for i, part in enumerate(parts):
                 if i % 2:
                     out.append(part)
                 else:
-                    out += self._words.findall(self.normal(part))
+                    out += self._split(part)
             return out
-        return self._words.findall(self.normal(text))
+        return self._split(text)
+
+
+def is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class MergeEncoder:
@@ -236,13 +259,13 @@ class LibraryWords:
                 self.ends[i] = s.endswith(self.rules.suffix)
         self.ids: dict[str, bytes] = {w: np.array([i], self.dtype).tobytes() for w, i in self.rules.added.items()}
 
-    def learn(self, words: list[str]) -> None:
-        new = set(words).difference(self.ids)
+    def learn(self, words: set[str]) -> None:
+        new = words.difference(self.ids)
         if not new:
             return
-        if len(self.ids) + len(new) > CACHE_WORDS:
+        if len(self.ids) + len(new) > 3 * CACHE_WORDS // 2:  # an entry is half as large as the codec's
             self.ids = {w: self.ids[w] for w in self.rules.added}
-            new = set(words).difference(self.ids)
+            new = words.difference(self.ids)
         todo = list(new)
         # Many words in one call, one space between them; each word's last token bears the end-of-word suffix.
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(todo)], add_special_tokens=False)[0].ids, self.dtype)
@@ -256,12 +279,14 @@ class LibraryWords:
             for w, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
                 self.ids[w] = np.array(e.ids, self.dtype).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.rules.words(t) for t in texts]
-        out = []
-        for words in split:
-            self.learn(words)
-            out.append(b"".join(map(self.ids.__getitem__, words)))
+    def encode(self, texts: list[str], together: int = 100) -> list[bytes]:
+        """Ids of each text; new words of `together` texts are encoded in one call."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), together):
+            split = [self.rules.words(t) for t in texts[at : at + together]]
+            self.learn(set().union(*split))
+            get = self.ids.__getitem__
+            out += [b"".join(map(get, words)) for words in split]
         return out
 
 

@@ -17,15 +17,14 @@ from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom import runtime
 from seqloom.llm.packing import PATTERN, byte_encoder
-from seqloom.llm.texts import chunks
+from seqloom.llm.texts import Splitter, chunks
 
-SPLIT = regex.compile(PATTERN)
+SPLIT = Splitter(PATTERN)
 #: Pre-tokens of a new leaf; a leaf that edits have grown to four times that makes the tree be built anew.
 LEAF = 32
 #: Pre-tokens before the one that an edit touches which may change with it (white space looks two ahead).
@@ -157,13 +156,13 @@ class Tree:
             boundary = {e + shift for e in accumulate(map(len, tail), initial=0) if e >= offset + removed}
             complete = last + 1 == len(self.leaves)
             made, reached = [], 0
-            for m in SPLIT.finditer(new):
+            for word, end in SPLIT.spans(new):
                 # A match near the end of what is at hand may go on in the next leaf.
-                if not complete and m.end() + CONTEXT >= len(new):
+                if not complete and end + CONTEXT >= len(new):
                     reached = -1
                     break
-                made.append(m.group())
-                reached = m.end()
+                made.append(word)
+                reached = end
                 if reached >= offset + len(inserted) and reached in boundary:
                     break
             if reached < 0 or (not complete and reached < len(new) and reached not in boundary) or (not complete and not made):
