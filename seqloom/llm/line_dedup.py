@@ -75,18 +75,23 @@ def dedup_lines(docs: DataFrame, window: int = 2, long_words: int = 50) -> DataF
     removed_lines. A null text stays null with 0 lines; an empty text has one
     blank line. If every line goes, the text is empty. An empty table gives none.
     """
-    gone = repeated_lines(docs, window, long_words).select(F.col("ord").alias("_ord"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
+    own = "_ld"  # names of columns in between must not be those of docs
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    ord_, th, gone_, raw, o, t, lines, filled = (f"{own}{i}" for i in range(8))
+    gone = repeated_lines(docs, window, long_words).select(F.col("ord").alias(ord_), F.col("th").alias(th), F.col("gone").alias(gone_))
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "removed_lines")]
-    rows = docs.select(*rest, F.col("text").alias("_text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("_o"), F.xxhash64("text").alias("_t"))
-    both = rows.join(gone, (F.col("_o") == F.col("_ord")) & (F.col("_t") == F.col("_th")), "left")
+    rows = docs.select(*rest, F.col("text").alias(raw), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias(o), F.xxhash64("text").alias(t))
+    both = rows.join(gone, (F.col(o) == F.col(ord_)) & (F.col(t) == F.col(th)), "left")
     # Exploding makes the lines a column, not an expression to repeat for each line.
-    split = both.select(*rest, "_gone", F.explode(F.array(F.split("_text", "\n"))).alias("_lines"))
-    filled = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: _trimmed(F.element_at("_lines", i + 1)) != "")
-    marked = split.select(*rest, "_lines", F.explode(F.array(F.when(F.col("_gone").isNotNull(), filled))).alias("_filled"), "_gone")
-    drop = F.transform("_gone", lambda i: F.element_at("_filled", i + 1))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), drop), lambda i: F.element_at("_lines", i + 1))
-    text = F.when(F.col("_lines").isNull(), F.lit(None)).when(F.col("_gone").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(kept, "\n"))
-    out = marked.select(*rest, text.alias("text"), F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("bigint").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("removed_lines"))
+    split = both.select(*rest, gone_, F.explode(F.array(F.split(raw, "\n"))).alias(lines))
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    full = F.filter(every, lambda i: _trimmed(F.element_at(lines, i + 1)) != "")
+    marked = split.select(*rest, lines, F.explode(F.array(F.when(F.col(gone_).isNotNull(), full))).alias(filled), gone_)
+    drop = F.transform(gone_, lambda i: F.element_at(filled, i + 1))
+    kept = F.transform(F.array_except(every, drop), lambda i: F.element_at(lines, i + 1))
+    text = F.when(F.col(lines).isNull(), F.lit(None)).when(F.col(gone_).isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(kept, "\n"))
+    out = marked.select(*rest, text.alias("text"), F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"), F.coalesce(F.size(gone_), F.lit(0)).cast("bigint").alias("removed_lines"))
     order = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
     return out.select(*order, "n_lines", "removed_lines")
 

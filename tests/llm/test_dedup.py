@@ -167,6 +167,13 @@ def test_line_dedup_odd_rows(odd_docs, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_line_dedup_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a\nb", "x", "y", "z"), (2, "a\nb\nc", "x", "y", "z")], "doc_id bigint, text string, _ld0 string, _ld_5 string, gone string")
+    found = line_dedup.dedup_lines(docs)
+    assert found.columns == [*docs.columns, "n_lines", "removed_lines"]
+    assert sorted(map(tuple, found.collect())) == [(1, "a\nb", "x", "y", "z", 2, 0), (2, "c", "x", "y", "z", 3, 2)]
+
+
 def test_line_dedup_is_native(odd_docs):
     plan = line_dedup.dedup_lines(odd_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "MapIn" not in plan
