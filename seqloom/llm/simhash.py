@@ -10,6 +10,10 @@ share a key, and every pair in a key's group is verified by Hamming distance.
 `wide` fingerprints (several hashes of each shingle) serve a similarity
 threshold on shingle sets instead: keys are bit samples of the fingerprint,
 as many and as long as the number of fingerprints and the wanted recall ask for.
+Sets of few shingles also have the set less any one shingle as keys. Pairs that
+share a key and are near by a loose Hamming bound are candidates only: what they
+connect is gathered with its shingle sets, and a pair links by its exact Jaccard
+similarity.
 """
 
 from __future__ import annotations
@@ -31,6 +35,12 @@ from seqloom.llm.texts import chunks
 SEED = 42
 #: Groups of up to so many rows are compared by shifted arrays, all groups of a batch at once.
 SMALL = 16
+#: Sets of up to so many shingles have exact keys too: their ties make fingerprints less alike than large sets'.
+FEW = 9
+#: Candidates differ in at most so many standard deviations above the mean at the wanted similarity.
+LOOSE = 6
+#: Shingle sets of a block in the exact comparison; a task compares at most two blocks at a time.
+SET_ROWS = 1024
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -71,19 +81,42 @@ def majority(h: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > n, bitorder="little").view(np.uint64)
 
 
+def few_keys(h: np.ndarray) -> list[int]:
+    """Negative keys of a set of 1 to FEW distinct shingle hashes: of the set and of the set less any one. Two sets of which one has one shingle more share a key."""
+    if not 0 < len(h) <= FEW:
+        return []
+    whole = h.sum(dtype=np.uint64)
+    return (np.append(whole, whole - h) | np.uint64(1 << 63)).view(np.int64).tolist()
+
+
+def text_mark(text: Column) -> Column:
+    """Tells texts apart; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """doc_id and the fingerprint (a bigint for one word, binary for more) of every whole text; a null text counts as empty: all zero."""
+    """doc_id, mark of the text and fingerprint (a bigint for one word, binary for more) of every whole text; a null text counts as empty: all zero.
+
+    More than one word: also content (a digest of the set of shingles) and few (its few_keys()).
+    """
     runtime.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for a, b, texts in chunks(batch):
-                rows = [majority(spread(shingle_hashes(t, shingle), words)) for t in texts]
-                made = pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)) if words == 1 else pa.array([r.tobytes() for r in rows], pa.binary())
-                yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(a, b - a), "fingerprint": made})
+                out = {"doc_id": batch.column(0).slice(a, b - a), "mark": batch.column(2).slice(a, b - a)}
+                if words == 1:
+                    rows = [majority(spread(shingle_hashes(t, shingle), 1))[0] for t in texts]
+                    out["fingerprint"] = pa.array(np.array(rows, np.uint64).view(np.int64))
+                else:
+                    sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+                    out["fingerprint"] = pa.array([majority(spread(shingle_hashes(t, shingle), words)).tobytes() for t in texts], pa.binary())
+                    out["content"] = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+                    out["few"] = pa.array([few_keys(h) for h in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_pydict(out)
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, f"doc_id bigint, fingerprint {'bigint' if words == 1 else 'binary'}")
+    schema = "doc_id bigint, mark binary, fingerprint " + ("bigint" if words == 1 else "binary, content binary, few array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_mark(F.col("text")).alias("mark")).mapInArrow(run, schema)
 
 
 def block_keys(fp: Column, distance: int, blocks: int) -> Column:
@@ -189,38 +222,130 @@ def flip_rate(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, blocks: int = 5, similarity: float | None = None, words: int = 8, recall: float = 0.97) -> DataFrame:
+def candidate_keys(classes: DataFrame, bits: int, tables: int, length: int, alone: bool = False) -> DataFrame:
+    """sampled_keys() and the exact keys of sets of few shingles."""
+    exact = classes.where(F.size("few") > 0).select(F.explode("few").alias("key"), *([] if alone else ["node", "fingerprint"]))
+    return sampled_keys(classes, bits, tables, length, alone).unionByName(exact)
+
+
+def set_stars(sets: list[np.ndarray], similarity: float) -> list[list[int]]:
+    """Connected groups of sets (distinct values each) by exact Jaccard similarity, each with its first set in front.
+
+    Common values are counted through lists of the sets that hold a value. Reached sets leave the search and, by halves, the lists.
+    """
+    m, sizes = len(sets), np.array([len(x) for x in sets])
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    local = np.split(flat, np.cumsum(sizes)[:-1])
+    left, found, listed = np.ones(m, bool), [], m * 2
+    held = first = count = np.zeros(0, np.int64)
+    for seed in range(m):
+        if not left[seed]:
+            continue
+        left[seed] = False
+        star, at = [seed], 0
+        while at < len(star):
+            rows = np.flatnonzero(left)
+            if not len(rows):
+                break
+            if 2 * len(rows) <= listed:
+                listed = len(rows)
+                member = np.concatenate([local[i] for i in rows])
+                held = np.repeat(rows, sizes[rows])[np.argsort(member, kind="stable")]
+                count = np.bincount(member, minlength=len(values))
+                first = np.cumsum(count) - count
+            mine = local[star[at]]
+            n = count[mine]
+            places = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(held[places], minlength=m)
+            near = left & (common / np.maximum(sizes + len(mine) - common, 1) >= similarity)
+            left[near] = False
+            star += np.flatnonzero(near).tolist()
+            at += 1
+        found.append(star)
+    return found
+
+
+def set_links(table: pa.Table, starts: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that connect, within each group, what pairs of the similarity connect."""
+    nodes, raw = table.column("node").to_numpy(), table.column("shingles")
+    out_a, out_b = [], []
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(nodes)], strict=True):
+        own, at = np.unique(nodes[s:e], return_index=True)  # a text that several rows have comes several times
+        if len(own) < 2:
+            continue
+        for star in set_stars([np.frombuffer(raw[s + int(i)].as_py(), np.uint64) for i in at], similarity):
+            out_a += own[star[1:]].tolist()
+            out_b += [int(own[star[0]])] * (len(star) - 1)
+    if out_a:
+        yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+
+def verified(docs: DataFrame, rows: DataFrame, classes: DataFrame, near: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) by exact similarity among the classes that candidate links `near` connect; the sets are made anew from one text a class."""
+    parts = blocked(components(near), "component", "node", SET_ROWS).groupBy("node", "component").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
+    wanted = runtime.materialize(rows.select("content", "mark").join(classes.select("content", "node").join(parts, "node"), "content").drop("content").dropDuplicates(["node"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for a, b, texts in chunks(batch):
+                out: dict[str, list] = {"component": [], "lo": [], "hi": [], "node": [], "shingles": []}
+                for node, component, where, text in zip(*(batch.column(k).slice(a, b - a).to_pylist() for k in range(3)), texts, strict=True):
+                    if node in seen:
+                        continue
+                    seen.add(node)
+                    h = np.unique(shingle_hashes(text, shingle)).tobytes()
+                    for part in where:
+                        for k, v in zip(out, (component, part["lo"], part["hi"], node, h), strict=True):
+                            out[k].append(v)
+                kinds = {"lo": pa.int32(), "hi": pa.int32(), "shingles": pa.binary()}
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+
+    texts = docs.select(text_mark(F.col("text")).alias("mark"), "text").join(wanted, "mark").select("node", "component", "parts", "text")
+    sets = texts.mapInArrow(run, "component bigint, lo int, hi int, node bigint, shingles binary")
+    partitions = max(runtime.partitions_for(wanted, 1 << 17), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return by_group(sets, ["component", "lo", "hi"], [], partitions, lambda t, s: set_links(t, s, similarity), "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, fingerprint, component_id of every document.
 
-    docs: doc_id, text; other columns are ignored. Default: 64-bit fingerprints,
-    linked at `max_bits` or fewer differing bits; every such link is found. With
-    `similarity` (Jaccard of the shingle sets): fingerprints of 64 * words bits,
-    linked at no more differing bits than that similarity makes likely (one
-    standard deviation above its mean); a pair at the similarity shares a key
-    with probability `recall`, closer ones more surely.
+    docs: doc_id, text; other columns are ignored. Options are those of grouped().
+    Default: 64-bit fingerprints, linked at `max_bits` or fewer differing bits;
+    every such link is found. With `similarity`: documents whose sets of shingles
+    have at least that Jaccard similarity are linked, others never. A pair at the
+    similarity is found with probability `recall`, closer ones more surely, one of
+    sets of up to FEW - 1 shingles at 0.8 or more always but for the Hamming bound
+    of candidates (LOOSE standard deviations above the mean, so hardly ever missed).
 
     component_id is the smallest doc_id reachable by links, itself included.
     Null or word-free texts have fingerprint zero and link with one another.
     Rows of a null doc_id take part and get the component's smallest id (null if
     it has none); repeated rows give a row each. An empty table gives no rows.
     """
-    width = 1 if similarity is None else words
-    marked = runtime.materialize(fingerprints(docs, shingle, width))
-    # Classes of equal fingerprints: a pre-aggregated minimum, so a group of copies counts once from here on.
-    classes = runtime.materialize(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("node", F.coalesce(F.col("least"), F.xxhash64("fingerprint").bitwiseOR(F.lit(-(1 << 63))))))
+    return grouped(docs, **options).select("doc_id", "fingerprint", "component_id")
+
+
+def grouped(docs: DataFrame, shingle: int = 3, max_bits: int = 2, blocks: int = 5, similarity: float | None = None, words: int = 8, recall: float = 0.99) -> DataFrame:
+    """near_duplicates() with the mark of each text and root, a number that the rows of a group alone have."""
+    rows = runtime.materialize(fingerprints(docs, shingle, 1 if similarity is None else words))
+    # Classes of equal fingerprints or sets: a pre-aggregated minimum, so a group of copies counts once from here on.
+    alike = ["fingerprint"] if similarity is None else ["content", "fingerprint", "few"]
+    classes = runtime.materialize(rows.groupBy(*alike).agg(F.min("doc_id").alias("least")).withColumn("node", F.coalesce(F.col("least"), F.xxhash64(alike[0]).bitwiseOR(F.lit(-(1 << 63))))))
     if similarity is None:
         distance = max_bits
         dealt = blocked(classes.select(F.explode(block_keys(F.col("fingerprint"), max_bits, blocks)).alias("key"), "node", "fingerprint"), "key", "node")
     else:
         bits, rate = 64 * words, flip_rate(similarity)
-        distance = math.floor(bits * rate + math.sqrt(bits * rate * (1 - rate)))
+        distance = math.floor(bits * rate + LOOSE * math.sqrt(bits * rate * (1 - rate)))
         tables, length = wide_plan(classes.count(), similarity, recall)
-        dealt = split_hot(sampled_keys(classes, bits, tables, length), sampled_keys(classes, bits, tables, length, alone=True), "key", "node")
+        dealt = split_hot(candidate_keys(classes, bits, tables, length), candidate_keys(classes, bits, tables, length, alone=True), "key", "node")
     partitions = max(runtime.partitions_for(classes, 1 << 19), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     links = by_group(dealt, ["key", "lo", "hi"], [], partitions, lambda t, s: group_links(t, s, distance), "a bigint, b bigint")
-    found = components(links)
-    home = classes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "least").alias("component_id"))
-    return marked.join(home, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    if similarity is not None:
+        links = verified(docs, rows, classes, links, shingle, similarity)
+    home = classes.join(components(links), "node", "left").select(alike[0], F.coalesce("component", "least").alias("component_id"), F.coalesce("component", "node").alias("root"))
+    return rows.join(home, alike[0]).select("doc_id", "mark", "fingerprint", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -136,6 +136,40 @@ def test_keep_one(spark, odd_docs, no_docs):
     assert simhash.keep_one(no_docs).count() == 0
 
 
+def similar_pair(seed, words, swapped):
+    """Two texts of `words` words that differ in the last `swapped` words, and the Jaccard similarity of their five-word shingle sets."""
+    w = prose(seed, words).split()
+    v = w[: len(w) - swapped] + prose(seed + 10**6, swapped).split()
+    s = lambda x: {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+    return " ".join(w), " ".join(v), len(s(w) & s(v)) / len(s(w) | s(v))
+
+
+def test_similarity_links_by_exact_similarity(spark):
+    rows, want = [], []
+    for g in range(80):
+        a, b, j = similar_pair(900 + g, 304, 33 if g % 2 else 36)  # 0.802 and 0.786
+        rows += [(2 * g, a), (2 * g + 1, b)]
+        want.append(j >= 0.8)
+    short = [prose(50_000 + g, 8) for g in range(40)]
+    rows += [(1000 + g, t) for g, t in enumerate(short)] + [(2000 + g, t + " more") for g, t in enumerate(short)]  # 4 of 5 shingles
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs, shingle=5, similarity=0.8).collect()}
+    found = [got[2 * g + 1] == 2 * g for g in range(80)]
+    assert sum(want) == 40 and not any(f and not w for f, w in zip(found, want, strict=True))
+    assert sum(found) >= 38
+    assert all(got[2000 + g] == 1000 + g for g in range(40))
+
+
+def test_set_stars_equal_brute_force():
+    r = np.random.default_rng(4)
+    base = r.choice(10**6, (4, 40), replace=False)
+    sets = [np.unique(np.where(r.random(40) < 0.08, r.integers(10**6, 10**7, 40), base[i % 4])) for i in range(80)] + [np.zeros(0, np.int64)]
+    near = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+    want = joined(81, [(i, j) for i in range(81) for j in range(i) if near(sets[i], sets[j])])
+    got = simhash.set_stars(sets, 0.8)
+    assert sorted(map(sorted, got)) == sorted([i for i in range(81) if want[i] == h] for h in set(want))
+
+
 LINES = ["alpha beta", "gamma", "delta epsilon zeta", "", "eta theta", "  gamma ", "word " * 60, "lone"]
 
 
