@@ -7,7 +7,7 @@ split into `blocks` parts; two that differ in at most d bits agree in at least
 blocks - d parts, so each choice of that many parts gives a key, close pairs
 share a key, and every pair in a key's group is verified by Hamming distance.
 
-`wide` fingerprints (several hashes of each shingle) serve a similarity
+`wide` fingerprints (several hashes of each distinct shingle) serve a similarity
 threshold on shingle sets instead: keys are bit samples of the fingerprint,
 as many and as long as the number of fingerprints and the wanted recall ask for.
 Sets of few shingles also have the set less any one shingle as keys. Pairs that
@@ -97,7 +97,8 @@ def text_mark(text: Column) -> Column:
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
     """doc_id, mark of the text and fingerprint (a bigint for one word, binary for more) of every whole text; a null text counts as empty: all zero.
 
-    More than one word: also content (a digest of the set of shingles) and few (its few_keys()).
+    One word: every repeat of a shingle counts. More: the set of shingles counts,
+    and there are content (a digest of the set) and few (its few_keys()).
     """
     runtime.ship(docs.sparkSession)
 
@@ -110,7 +111,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
                     out["fingerprint"] = pa.array(np.array(rows, np.uint64).view(np.int64))
                 else:
                     sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-                    out["fingerprint"] = pa.array([majority(spread(shingle_hashes(t, shingle), words)).tobytes() for t in texts], pa.binary())
+                    out["fingerprint"] = pa.array([majority(spread(h, words)).tobytes() for h in sets], pa.binary())
                     out["content"] = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
                     out["few"] = pa.array([few_keys(h) for h in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(out)

@@ -170,6 +170,14 @@ def test_set_stars_equal_brute_force():
     assert sorted(map(sorted, got)) == sorted([i for i in range(81) if want[i] == h] for h in set(want))
 
 
+def test_repeats_do_not_outvote_the_set(spark):
+    own = [prose(70_000 + i, 300) for i in range(3)]
+    sentence = prose(80_000, 20)
+    rows = [(1, own[0] + " ha" * 60), (2, own[1] + " ha" * 60), (3, f"{own[2]} {sentence}"), (4, own[2] + f" {sentence}" * 15)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs, shingle=5, similarity=0.8).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
 LINES = ["alpha beta", "gamma", "delta epsilon zeta", "", "eta theta", "  gamma ", "word " * 60, "lone"]
 
 
