@@ -118,6 +118,12 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 
+def least_ids(homes: DataFrame, classes: DataFrame) -> DataFrame:
+    """homes (node, component) with top, the least id (column `least` of classes) of the component's nodes, null if none has one."""
+    tops = runtime.materialize(homes.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("top")))
+    return homes.join(tops, "component")
+
+
 def _state(edges: DataFrame) -> tuple:
     """Count and order-free hash of the edges: equal states mean that a step changed nothing."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom import runtime
-from seqloom.llm.groups import blocked, by_group, components, split_hot
+from seqloom.llm.groups import blocked, by_group, components, least_ids, split_hot
 from seqloom.llm.texts import chunks
 
 SEED = 42
@@ -322,7 +322,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     component_id is the smallest doc_id reachable by links, itself included.
     Null or word-free texts have fingerprint zero and link with one another.
     Rows of a null doc_id take part and get the component's smallest id (null if
-    it has none); repeated rows give a row each. An empty table gives no rows.
+    it has none); repeated rows give a row each, and unlike texts of one doc_id
+    are not linked by it. An empty table gives no rows.
     """
     return grouped(docs, **options).select("doc_id", "fingerprint", "component_id")
 
@@ -331,8 +332,9 @@ def grouped(docs: DataFrame, shingle: int = 3, max_bits: int = 2, blocks: int =
     """near_duplicates() with the mark of each text and root, a number that the rows of a group alone have."""
     rows = runtime.materialize(fingerprints(docs, shingle, 1 if similarity is None else words))
     # Classes of equal fingerprints or sets: a pre-aggregated minimum, so a group of copies counts once from here on.
+    # Numbers are written with them: no two classes share one, whatever ids their rows have.
     alike = ["fingerprint"] if similarity is None else ["content", "fingerprint", "few"]
-    classes = runtime.materialize(rows.groupBy(*alike).agg(F.min("doc_id").alias("least")).withColumn("node", F.coalesce(F.col("least"), F.xxhash64(alike[0]).bitwiseOR(F.lit(-(1 << 63))))))
+    classes = runtime.materialize(rows.groupBy(*alike).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
     if similarity is None:
         distance = max_bits
         dealt = blocked(classes.select(F.explode(block_keys(F.col("fingerprint"), max_bits, blocks)).alias("key"), "node", "fingerprint"), "key", "node")
@@ -345,7 +347,7 @@ def grouped(docs: DataFrame, shingle: int = 3, max_bits: int = 2, blocks: int =
     links = by_group(dealt, ["key", "lo", "hi"], [], partitions, lambda t, s: group_links(t, s, distance), "a bigint, b bigint")
     if similarity is not None:
         links = verified(docs, rows, classes, links, shingle, similarity)
-    home = classes.join(components(links), "node", "left").select(alike[0], F.coalesce("component", "least").alias("component_id"), F.coalesce("component", "node").alias("root"))
+    home = classes.join(least_ids(components(links), classes), "node", "left").select(alike[0], F.coalesce("top", "least").alias("component_id"), F.coalesce("component", "node").alias("root"))
     return rows.join(home, alike[0]).select("doc_id", "mark", "fingerprint", "component_id", "root")
 
 

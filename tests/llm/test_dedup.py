@@ -178,6 +178,26 @@ def test_repeats_do_not_outvote_the_set(spark):
     assert {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs, shingle=5, similarity=0.8).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
 
 
+def test_groups_with_null_and_repeated_ids(spark):
+    a, b = prose(61_000, 60), prose(61_001, 60)
+    docs = spark.createDataFrame([(4, a), (None, a + " more"), (6, a + " more words"), (9, b), (9, prose(61_002, 60)), (12, b + " more")], "doc_id bigint, text string")
+    got = sorted(((x["doc_id"] or 0, x["component_id"]) for x in simhash.near_duplicates(docs, shingle=5, similarity=0.8).collect()))
+    assert got == [(0, 4), (4, 4), (6, 4), (9, 9), (9, 9), (12, 9)]
+    texts = near_copies(1, 60)
+    ids = [None if i % 2 else i for i in range(60)]
+    fp = [plain_fingerprint(t, 3) for t in texts]
+    home = joined(60, [(i, j) for i in range(60) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 2])
+    least = {h: min((i for i in range(60) if home[i] == h and ids[i] is not None), default=None) for h in home}
+    got = simhash.near_duplicates(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string")).collect()
+    key = lambda t: tuple(-1 if x is None else x for x in t)
+    assert sorted(key((x["doc_id"], x["component_id"])) for x in got) == sorted(key((ids[i], least[home[i]])) for i in range(60))
+    x = np.random.default_rng(6).normal(size=(3, 24))
+    vectors = [(3, x[0]), (None, x[0] + 0.01), (5, x[1]), (5, x[2]), (8, x[2] + 0.01), (7, x[1] + 0.01)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors], "vec_id bigint, embedding array<double>")
+    got = sorted((r["vec_id"] or 0, r["component_id"], r["kept"], r["n_links"]) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(0, 3, False, 1), (3, 3, True, 1), (5, 5, True, 1), (5, 5, True, 1), (7, 5, False, 1), (8, 5, False, 1)]
+
+
 LINES = ["alpha beta", "gamma", "delta epsilon zeta", "", "eta theta", "  gamma ", "word " * 60, "lone"]
 
 
