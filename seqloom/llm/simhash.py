@@ -355,14 +355,23 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, with one document of each near-duplicate group: that of the smallest doc_id.
 
     Of several rows of that doc_id one stays. Rows of a null doc_id go if their
-    group has an id and stay if it has none.
+    group has an id and stay if it has none. A row goes for its own group only,
+    whatever other texts its doc_id has; if a doc_id is the smallest of several
+    groups, the text of the least md5 stays for it, and the next id for another group.
     """
-    groups = runtime.materialize(near_duplicates(docs, **options).select("doc_id", "component_id"))
-    # Written first, so its size is known before the texts are dealt out: few ids are sent to them instead.
-    gone = runtime.materialize(groups.where("component_id is not null and not doc_id <=> component_id").select("doc_id").distinct())
-    kept = docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
+    groups = runtime.materialize(grouped(docs, **options).select("doc_id", "mark", "component_id", "root"))
+    heads = groups.where("doc_id = component_id")
+    repeated = runtime.materialize(heads.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.struct("mark", "root")).alias("one")).where("n > 1"))
+    # Groups whose smallest id stays for another group already.
+    lost = heads.join(repeated, "doc_id").where("root <> one.root").select("root").distinct()
+    spare = groups.join(lost, "root").where("doc_id <> component_id").groupBy("root").agg(F.min("doc_id").alias("spare"))
+    unlike = heads.join(repeated, "doc_id").where("mark <> one.mark").select("doc_id", "mark")
+    away = groups.where("component_id is not null and not doc_id <=> component_id").join(spare, "root", "left").where("spare is null or not doc_id <=> spare").select("doc_id", "mark")
+    # Written first, so its size is known before the texts are dealt out: few rows are sent to them instead.
+    gone = runtime.materialize(away.union(unlike).distinct())
+    kept = docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id) & (text_mark(docs.text) == gone.mark), "left_anti")
+    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
         return kept
-    many = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(many)
+    many = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(many)

@@ -178,6 +178,19 @@ def test_repeats_do_not_outvote_the_set(spark):
     assert {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs, shingle=5, similarity=0.8).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
 
 
+def test_keep_one_drops_rows_of_the_group_only(spark, odd_docs):
+    null = simhash.keep_one(odd_docs, shingle=5, similarity=0.8).where("doc_id is null").collect()
+    assert [r["text"] for r in null] == [prose(8, 60)]
+    a, b, c, d = (prose(60_000 + i, 50) for i in range(4))
+    rows = [(1, a), (5, a + " more"), (5, b), (None, a), (None, c), (7, c + " more"), (None, d)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=5, similarity=0.8).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, spark.createDataFrame([(1, a), (5, b), (7, c + " more"), (None, d)], "doc_id bigint, text string").collect()))
+    # id 3 is the smallest of two groups: one text of it stays, and id 4 for the other group.
+    rows = [(3, a), (3, b), (4, a + " more"), (6, b + " more")]
+    kept = sorted(tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=5, similarity=0.8).collect())
+    assert kept in ([(3, a), (6, b + " more")], [(3, b), (4, a + " more")])
+
+
 def test_groups_with_null_and_repeated_ids(spark):
     a, b = prose(61_000, 60), prose(61_001, 60)
     docs = spark.createDataFrame([(4, a), (None, a + " more"), (6, a + " more words"), (9, b), (9, prose(61_002, 60)), (12, b + " more")], "doc_id bigint, text string")
