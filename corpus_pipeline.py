@@ -25,7 +25,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents of no learned language (no letter, or no language likelier than not)."""
+    """Without documents of no learned language (no letter, no language likelier than not, or none that fits better than plain bytes)."""
     return language_id.keep_identified(docs)
 
 

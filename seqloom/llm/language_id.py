@@ -29,6 +29,8 @@ UNDETERMINED = "und"
 PAD = 10
 #: Bytes scored at a time.
 CHUNK_BYTES = 1 << 20
+#: Bits by which a text may exceed plain bytes of 8 bits each and still be of a learned language: what a few letters exceed them by proves nothing.
+RIVAL_BITS = 16
 LETTER = regex.compile(r"\p{L}")
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(65, 91), *range(97, 123)]] = True
@@ -181,15 +183,15 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, end, names, score in _judged(shared.value, batch.column(1)):
+            for start, end, names, score, _ in _judged(shared.value, batch.column(1)):
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(start, end - start), "held_out": batch.column(2).slice(start, end - start), "lang_pred": pa.array(names, pa.string()), "score": pa.array(score)})
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def _judged(m: Model, texts: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
-    """(first row, end row, languages, scores) of a column of texts, some megabytes at a time."""
+def _judged(m: Model, texts: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
+    """(first row, end row, languages, scores, bits beyond 8 a byte under the best language) of a column of texts, some megabytes at a time."""
     states = states_of(m) if m.languages else None
     array = pc.fill_null(texts, "")
     sizes = np.asarray(pc.binary_length(array)).astype(np.int64)
@@ -206,15 +208,17 @@ def _judged(m: Model, texts: pa.Array) -> Iterator[tuple[int, int, list[str], np
         for i in np.flatnonzero(~has & (n > 0)):  # no ASCII letter
             has[i] = LETTER.search(part[int(i)].as_py()) is not None
         if m.languages:
-            best, score = posterior(m.bits(data, n, states))
-            yield start, end, [m.languages[b] if h else UNDETERMINED for b, h in zip(best, has, strict=True)], np.where(has, score, 0.0)
+            bits = m.bits(data, n, states)
+            best, score = posterior(bits)
+            yield start, end, [m.languages[b] if h else UNDETERMINED for b, h in zip(best, has, strict=True)], np.where(has, score, 0.0), bits.min(axis=1) - 8 * n
         else:
-            yield start, end, [UNDETERMINED] * len(n), np.zeros(len(n))
+            yield start, end, [UNDETERMINED] * len(n), np.zeros(len(n)), np.zeros(len(n))
         start = end
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs, all columns, without the rows of no language: `und`, or no language with a share of probability of `least`. One pass, no shuffle.
+    """docs, all columns, without the rows of no language: `und`, no language with a share of probability of `least`, or a text that plain bytes
+    of 8 bits each describe better than the best language, by more than RIVAL_BITS. One pass, no shuffle.
 
     Where nothing can be learned (no labelled language), only texts without a letter go.
     """
@@ -226,9 +230,9 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for start, end, names, score in _judged(m, batch.column(at)):
+            for start, end, names, score, excess in _judged(m, batch.column(at)):
                 if m.languages:
-                    good = [x != UNDETERMINED and y >= least for x, y in zip(names, score, strict=True)]
+                    good = [x != UNDETERMINED and y >= least and z <= RIVAL_BITS for x, y, z in zip(names, score, excess, strict=True)]
                 else:
                     good = [LETTER.search(x or "") is not None for x in batch.column(at).slice(start, end - start).to_pylist()]
                 yield batch.slice(start, end - start).filter(pa.array(good, pa.bool_()))

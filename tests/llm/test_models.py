@@ -95,6 +95,20 @@ def test_language_of_a_document_is_not_read(spark, spoken):
     assert a == b
 
 
+def test_language_stage_drops_foreign_and_random_texts(spark, spoken):
+    r = random.Random(1)
+    foreign = [
+        "Suomen kieli on yksi maailman vaikeimmista kielistä, ja sitä puhuu noin viisi miljoonaa ihmistä.",
+        "Język polski należy do grupy zachodniosłowiańskiej i jest językiem urzędowym w Polsce.",
+        "Русский язык является одним из восточнославянских языков.",
+        "汉语是世界上使用人数最多的语言之一。",
+        *("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (20, 70)),
+    ]
+    planted = spark.createDataFrame([(1000 + i, t, None) for i, t in enumerate(foreign)], "doc_id bigint, text string, lang string")
+    kept = language_id.keep_identified(spoken.union(planted))
+    assert sorted(x["doc_id"] for x in kept.collect()) == list(range(300))
+
+
 def test_language_odd_rows(odd_docs, no_docs):
     rows = language_id.identify(odd_docs).collect()
     assert len(rows) == 13
