@@ -315,7 +315,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Default: 64-bit fingerprints, linked at `max_bits` or fewer differing bits;
     every such link is found. With `similarity`: documents whose sets of shingles
     have at least that Jaccard similarity are linked, others never. A pair at the
-    similarity is found with probability `recall`, closer ones more surely, one of
+    similarity with the mean number of differing bits is found with probability
+    `recall` (a little less over their spread), closer ones more surely, one of
     sets of up to FEW - 1 shingles at 0.8 or more always but for the Hamming bound
     of candidates (LOOSE standard deviations above the mean, so hardly ever missed).
 
