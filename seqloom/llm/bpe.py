@@ -15,7 +15,6 @@ import json
 import os
 import re
 import struct
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +27,8 @@ from seqloom.llm.texts import Splitter, chunks
 
 #: Distinct pre-tokens that a worker remembers before it starts afresh (bounds its memory; changes no result).
 CACHE_WORDS = 300_000
+#: ... or once they have so many characters.
+CACHE_CHARS = 8_000_000
 #: Unicode White_Space, which is what \s means in the tokenizer file.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -74,15 +75,14 @@ class Rules:
         self._latin = pre[0]["pattern"]["Regex"] == WORDS
         self._words = Splitter(pre[0]["pattern"]["Regex"].replace(r"\s", SPACE))
         self.letters = byte_letters()
+        self._normalizer = library_tokenizer(path).normalizer
 
-    @staticmethod
-    def normal(text: str) -> str:
-        """NFC and lower case; white space only separates words here, so runs of it need no replacing."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # letter by letter: no final form of sigma
-                return "".join(c.lower() for c in text)
-        return text.lower()
+    def normal(self, text: str) -> str:
+        """NFC, then lower case, once each; white space only separates words here, so runs of it need no replacing.
+
+        Latin-1 texts are in NFC as they are; others are normalized by the tokenizers library, whose Unicode tables may be of another version than Python's.
+        """
+        return text.lower() if is_latin(text) else self._normalizer.normalize_str(text)
 
     def _split(self, text: str) -> list[str]:
         text = self.normal(text)
@@ -103,6 +103,17 @@ class Rules:
         return self._split(text)
 
 
+def library_tokenizer(path: str):
+    """The tokenizers library's tokenizer of a file, without truncation and padding, in one thread."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
 def is_latin(text: str) -> bool:
     if text.isascii():
         return True
@@ -166,13 +177,19 @@ class CachedCodec:
         self.encoder = MergeEncoder(self.rules)
         self.ids: dict[str, bytes] = {}
         self.text: dict[str, str] = {}
+        self.chars = 0
 
     def learn(self, words: list[str]) -> None:
         new = set(words).difference(self.ids)
-        if len(self.ids) + len(new) > CACHE_WORDS:
+        if not new:
+            return
+        size = sum(map(len, new))
+        if len(self.ids) + len(new) > CACHE_WORDS or self.chars + size > CACHE_CHARS:
             self.ids.clear()
             self.text.clear()
             new = set(words)
+            self.chars, size = 0, sum(map(len, new))
+        self.chars += size
         rules, symbols = self.rules, self.encoder.symbols
         for w in new:
             sym = symbols(w)
@@ -244,13 +261,9 @@ class LibraryWords:
     """ids of distinct words from the tokenizers library, as bytes of the given width."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         self.rules = Rules(path)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer = library_tokenizer(path)
+        self.tokenizer.normalizer = None  # words are normalized already: a second time can change them
         size = max(self.rules.names) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.ends = np.zeros(size, bool)
@@ -258,14 +271,18 @@ class LibraryWords:
             for i, s in self.rules.names.items():
                 self.ends[i] = s.endswith(self.rules.suffix)
         self.ids: dict[str, bytes] = {w: np.array([i], self.dtype).tobytes() for w, i in self.rules.added.items()}
+        self.chars = 0
 
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.ids)
         if not new:
             return
-        if len(self.ids) + len(new) > 3 * CACHE_WORDS // 2:  # an entry is half as large as the codec's
+        size = sum(map(len, new))
+        if len(self.ids) + len(new) > 3 * CACHE_WORDS // 2 or self.chars + size > CACHE_CHARS:  # an entry is half as large as the codec's
             self.ids = {w: self.ids[w] for w in self.rules.added}
             new = words.difference(self.ids)
+            self.chars, size = 0, sum(map(len, new))
+        self.chars += size
         todo = list(new)
         # Many words in one call, one space between them; each word's last token bears the end-of-word suffix.
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(todo)], add_special_tokens=False)[0].ids, self.dtype)

@@ -15,59 +15,87 @@ so no task ever gathers all pieces of one length.
 
 from __future__ import annotations
 
-import base64
 import bisect
 import json
-import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom import runtime
-from seqloom.llm.bpe import byte_letters
-from seqloom.llm.texts import chunks
+from seqloom.llm.bpe import CACHE_CHARS, CACHE_WORDS, SPACE, library_tokenizer
+from seqloom.llm.texts import Splitter, chunks
 
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
 class ByteEncoder:
-    """Ids of a byte-level BPE tokenizer file, added tokens in texts recognized.
+    """Ids of a byte-level BPE tokenizer file by the tokenizers library, added tokens in texts recognized.
 
-    Where merges are numbered as their tokens are (as in this family of files),
-    the tiktoken engine gives the tokenizers library's ids several times faster;
-    any other file is encoded by the tokenizers library itself.
+    Texts are cut into pre-tokens by the file family's pattern; each distinct one
+    is encoded by the library once a worker. A file with other rules than plain
+    byte-level pre-tokens is given whole texts.
     """
 
     def __init__(self, path: str, special: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, added = spec["model"], {t["content"]: t["id"] for t in spec["added_tokens"]}
-        back = {c: b for b, c in enumerate(byte_letters())}
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        vocab = model["vocab"]
-        made = [vocab.get(a + b, -1) for a, b in pairs]
-        pre = spec["pre_tokenizer"]
+        pre, added = spec["pre_tokenizer"], {t["content"]: t["id"] for t in spec["added_tokens"]}
         plain = spec["normalizer"] is None and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
-        if plain and made == sorted(made) and not any(model.get(k) for k in ("dropout", "unk_token", "end_of_word_suffix", "continuing_subword_prefix", "ignore_merges")):
-            import tiktoken
-
-            ranks = {bytes(back[c] for c in s): i for s, i in vocab.items() if s not in added}
-            engine = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added if special else {})
-            self.ids = (lambda t: engine.encode_to_numpy(t, allowed_special="all")) if special else (lambda t: np.array(engine.encode_ordinary(t), np.uint32))
-        else:
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            from tokenizers import Tokenizer
-
-            library = Tokenizer.from_file(path)
-            library.no_truncation()
-            library.no_padding()
-            library.encode_special_tokens = not special
-            self.ids = lambda t: np.array(library.encode(t, add_special_tokens=False).ids, np.uint32)
+        plain &= not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        self.library = library_tokenizer(path)
+        self.library.encode_special_tokens = not special
+        self.known: dict[str, bytes] = {}
+        self.chars = 0
+        self.added = {s: np.array([i], "<u4").tobytes() for s, i in added.items()} if special else {}
+        self._cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.split = Splitter(PATTERN) if plain else None
+        if plain:
+            from tokenizers import pre_tokenizers
+
+            # A pre-token is one word to the library: it is not cut a second time.
+            self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def words(self, text: str) -> list[str]:
+        """Pre-tokens in order; an added token stands among them as its own string."""
+        if self._cut and len(parts := self._cut.split(text)) > 1:
+            return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.split.findall(part))]
+        return self.split.findall(text)
+
+    def learn(self, words: set[str]) -> None:
+        new = words.difference(self.known)
+        size = sum(map(len, new))
+        if len(self.known) + len(new) > CACHE_WORDS or self.chars + size > CACHE_CHARS:
+            self.known, new = {}, words
+            self.chars, size = 0, sum(map(len, new))
+        self.chars += size
+        todo = list(new.difference(self.added))
+        self.known |= {w: self.added[w] for w in new.intersection(self.added)}
+        for w, e in zip(todo, self.library.encode_batch_fast(todo, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def raw(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if self.split is None:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        words = self.words(text)
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            self.learn(set(words))
+            return b"".join(map(self.known.__getitem__, words))
+
+    def counts(self, words: list[str]) -> list[int]:
+        """Number of ids of each pre-token, without the memory."""
+        return [len(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.raw(text), "<u4")
 
 
 _encoders: dict[tuple[str, bool], ByteEncoder] = {}
@@ -84,15 +112,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, kee
     runtime.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_encoder(tokenizer_path).ids
+        encode, end = byte_encoder(tokenizer_path).raw, np.array([end_id], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             ids = batch.column(0)
             for a, b, texts in chunks(batch):
                 row, piece, start, length, crc, rank, raw = [], [], [], [], [], [], []
                 for i, text in enumerate(texts):
-                    e = encode(text)
-                    e = np.append(e, np.uint32(end_id)).astype("<u4")
+                    e = np.frombuffer(encode(text) + end, "<u4")
                     n, at, k = len(e), 0, 0
                     size = n % capacity or capacity
                     while at < n:

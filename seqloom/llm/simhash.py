@@ -353,26 +353,31 @@ def grouped(docs: DataFrame, shingle: int = 3, max_bits: int = 2, blocks: int =
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns, with one document of each near-duplicate group: that of the smallest doc_id.
+    """docs, all columns, with one row of each near-duplicate group: of the smallest doc_id (null last), then of the least md5 of the text.
 
-    Of several rows of that doc_id one stays. Rows of a null doc_id go if their
-    group has an id and stay if it has none. A row goes for its own group only,
-    whatever other texts its doc_id has; if a doc_id is the smallest of several
-    groups, the text of the least md5 stays for it, and the next id for another group.
+    A row is known by doc_id and text, so unlike texts of one doc_id go or stay
+    each with its own group, and rows of a null doc_id like any others. Of rows
+    equal in both, one stays: that of the least hash of all columns. A null text
+    counts as empty. An empty table gives an empty one.
     """
-    groups = runtime.materialize(grouped(docs, **options).select("doc_id", "mark", "component_id", "root"))
-    heads = groups.where("doc_id = component_id")
-    repeated = runtime.materialize(heads.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.struct("mark", "root")).alias("one")).where("n > 1"))
-    # Groups whose smallest id stays for another group already.
-    lost = heads.join(repeated, "doc_id").where("root <> one.root").select("root").distinct()
-    spare = groups.join(lost, "root").where("doc_id <> component_id").groupBy("root").agg(F.min("doc_id").alias("spare"))
-    unlike = heads.join(repeated, "doc_id").where("mark <> one.mark").select("doc_id", "mark")
-    away = groups.where("component_id is not null and not doc_id <=> component_id").join(spare, "root", "left").where("spare is null or not doc_id <=> spare").select("doc_id", "mark")
-    # Written first, so its size is known before the texts are dealt out: few rows are sent to them instead.
-    gone = runtime.materialize(away.union(unlike).distinct())
-    kept = docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id) & (text_mark(docs.text) == gone.mark), "left_anti")
-    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    groups = runtime.materialize(grouped(docs, **options).select(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark").alias("row"), "root"))
+    heads = groups.groupBy("root").agg(F.min("row").alias("head"), F.count("*").alias("n"))
+    # Written first, so the size is known before the texts are dealt out: few rows are sent to them instead.
+    many = runtime.materialize(heads.where("n > 1"))
+    members = groups.join(many, "root")
+    gone = runtime.materialize(members.where("row <> head").select("row").distinct())
+    again = runtime.materialize(members.where("row = head").groupBy("row").count().where("count > 1").select("row"))
+    own = "_keep"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    named = lambda t: t.select(F.col("row.doc_id").alias(f"{own}_id"), F.col("row.mark").alias(f"{own}_mark"))
+    on = lambda t: docs.doc_id.cast("bigint").eqNullSafe(t[f"{own}_id"]) & (text_mark(docs.text) == t[f"{own}_mark"])
+    gone, again = named(gone), named(again)
+    kept = docs.join(gone, on(gone), "left_anti")
     if again.isEmpty():
         return kept
-    many = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(many)
+    # Equal rows are reduced before they move: a row a task and document.
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    least = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in hashed])).alias(own)
+    one = docs.join(again, on(again)).groupBy(f"{own}_id", f"{own}_mark").agg(least).select(f"{own}.*")
+    return kept.join(again, on(again), "left_anti").unionByName(one)

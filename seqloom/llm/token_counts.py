@@ -29,7 +29,9 @@ SPLIT = Splitter(PATTERN)
 LEAF = 32
 #: Pre-tokens before the one that an edit touches which may change with it (white space looks two ahead).
 CONTEXT = 2
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_CHARS = 300_000, 8_000_000
+#: Pre-tokens of more characters are not remembered.
+LONG = 200
 
 _counts: dict[str, dict[str, int]] = {}
 
@@ -39,7 +41,7 @@ class Counter:
 
     def __init__(self, tokenizer_path: str):
         self.known = _counts.setdefault(tokenizer_path, {})
-        self.ids = byte_encoder(tokenizer_path, special=False).ids
+        self.encoder = byte_encoder(tokenizer_path, special=False)
 
     def __call__(self, words: list[str]) -> list[int]:
         known = self.known
@@ -47,12 +49,15 @@ class Counter:
             return list(map(known.__getitem__, words))
         except KeyError:
             new = set(words).difference(known)
-            if len(known) + len(new) > CACHE_WORDS:
+            if len(known) + len(new) > CACHE_WORDS or sum(map(len, new)) > CACHE_CHARS:
                 known.clear()
                 new = set(words)
-            for w in new:
-                known[w] = len(self.ids(w))
-            return list(map(known.__getitem__, words))
+            for w, n in zip(new, self.encoder.counts(list(new)), strict=True):
+                known[w] = n
+            counts = list(map(known.__getitem__, words))
+            for w in [w for w in new if len(w) > LONG]:
+                del known[w]
+            return counts
 
 
 class Tree:

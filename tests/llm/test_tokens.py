@@ -223,3 +223,36 @@ def test_edit_counts(spark, odd_docs, no_docs):
     by = {r["doc_id"]: r["edited_text"] for r in rows}
     assert by[1] == "Zed" + texts[1][3:] + " end" and by[3] == "born" and by[6] == texts[6]
     assert token_counts.edit_counts(no_docs, edits, BYTE).count() == 0
+
+
+LONG_RUNS = [" " * 1_000_000, "\n" * 1_200_000, "\t" * 1_000_000 + "a", " \n" * 600_000 + "end", "x" * 100_000, "-" * 100_000, "7" * 100_000, "　" * 100_000 + "b"]
+
+
+@pytest.mark.parametrize("text", LONG_RUNS, ids=lambda t: repr(t[:2]) + repr(t[-1]))
+def test_long_runs_of_one_kind(text, word):
+    byte = Tokenizer.from_file(BYTE)
+    ids = byte.encode(text, add_special_tokens=False).ids
+    assert packing.byte_encoder(BYTE).ids(text).tolist() == ids
+    assert token_counts.Tree(text, token_counts.Counter(BYTE)).count == len(ids)
+    ids = word.encode(text, add_special_tokens=False).ids
+    assert bpe.encode_ids(text, WORD).tolist() == ids
+    assert np.frombuffer(bpe.library_words(WORD).encode([text])[0], "<u2").tolist() == ids
+
+
+def test_long_white_space_in_plans(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_000_000)], "doc_id bigint, text string")
+    byte = Tokenizer.from_file(BYTE)
+    n = {r["doc_id"]: len(byte.encode(r["text"], add_special_tokens=False).ids) for r in docs.collect()}
+    packed = packing.pack(docs, BYTE).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in packed} == {k: v + 1 for k, v in n.items()}
+    edits = spark.createDataFrame([(1, [(5, 3, "x")])], "doc_id bigint, edits array<struct<position:int,removed:int,inserted:string>>")
+    counted = {r["doc_id"]: r for r in token_counts.edit_counts(docs, edits, BYTE).collect()}
+    assert {k: r["n_tokens"] for k, r in counted.items()} == n
+    assert counted[1]["edited_tokens"] == len(byte.encode("a" + " " * 4 + "x" + " " * 999_993 + "b", add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("text", ["İ̤", "aİ̤̣b", "İ́ ᲉꟋ", "\U00010d50x"])
+def test_words_are_normalized_once(text, word):
+    ids = word.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(bpe.library_words(WORD).encode([text])[0], "<u2").tolist() == ids
+    assert bpe.encode_ids(text, WORD).tolist() == ids
