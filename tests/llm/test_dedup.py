@@ -381,4 +381,4 @@ def test_vectors_of_extreme_size(spark):
 
 def test_plan_refuses_what_it_cannot_find():
     with pytest.raises(ValueError, match="recall"):
-        embedding_dedup.plan(64, 10**6, 0.3, 0.999)
+        embedding_dedup.plan(64, 10**6, 0.0, 0.9999)
