@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
+from seqloom.functions.alphabet import BLOSUM62
 from seqloom.operators.search import SearchOptions
 from seqloom.plans import homology
 from seqloom.sources import database, fasta, matrices
@@ -23,9 +24,10 @@ def parser() -> argparse.ArgumentParser:
     db.add_argument("-i", dest="input", required=True, help="FASTA file of proteins")
     db.add_argument("-o", dest="output", required=True, help="folder of the database")
     db.add_argument("-C", dest="clustering", choices="TF", default="T", help="cluster seeds")
-    db.add_argument("-L", dest="context", type=int, default=10, help="context length of clustering (up to 15)")
+    db.add_argument("-L", dest="context", type=int, default=10, help="context length of clustering")
     db.add_argument("-s", dest="threshold", type=int, default=39, help="score at which a seed may end")
     db.add_argument("-r", dest="reduced", help="file of the reduced alphabet")
+    db.add_argument("-M", dest="matrix", help="file of the score matrix (searches need published statistics for its name: BLOSUM62 or PAM30)")
     aln = commands.add_parser("aln", help="search a database")
     aln.add_argument("-d", dest="database", required=True)
     aln.add_argument("-i", dest="input", required=True, help="FASTA file of queries")
@@ -47,10 +49,12 @@ def main(argv: Sequence[str] | None = None) -> None:
     rows = fasta.with_dense_ids(fasta.read_fasta(spark, args.input))
     if args.command == "db":
         reduced = " ".join(matrices.read_reduced(spark, args.reduced).classes) if args.reduced else database.REDUCED_CLASSES
-        database.save(database.build(rows, reduced, args.threshold, args.context, args.clustering == "T"), args.output)
+        matrix = matrices.read_matrix(spark, args.matrix) if args.matrix else BLOSUM62
+        database.save(database.build(rows, reduced, args.threshold, args.context, args.clustering == "T", matrix), args.output)
     else:
-        options = SearchOptions(mask=args.filter == "T", results=args.results, per_subject=args.per_subject)
-        found = homology.search(database.load(spark, args.database), rows.withColumnRenamed("seq_id", "query_id"), args.kind == "d", options)
+        stored = database.load(spark, args.database)
+        options = SearchOptions(matrix=stored.settings.matrix, mask=args.filter == "T", results=args.results, per_subject=args.per_subject)
+        found = homology.search(stored, rows.withColumnRenamed("seq_id", "query_id"), args.kind == "d", options)
         fasta.write_tsv(found, args.output)
 
 

@@ -11,8 +11,6 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Stands for minus infinity in dynamic programming.
-NEVER = -1024
 SUBSTITUTION, GAP_IN_QUERY, GAP_IN_SUBJECT = "S", "I", "D"
 
 
@@ -77,117 +75,203 @@ def connected(q: Lanes, s: Lanes, previous: np.ndarray, matrix: np.ndarray, drop
     return done
 
 
-def gapped_side(query: np.ndarray, subject: np.ndarray, matrix: np.ndarray, gap_open: int, gap_extend: int, cutoff: int, trace: bool = False) -> tuple[int, int, int, list[tuple[str, int]]]:
-    """(score, query residues, subject residues, edit script) of the best extension from the start of both arrays.
+@dataclass(frozen=True)
+class Extensions:
+    """Best one-sided extension of each lane: score, residues taken of query and subject, edit script from the start outward (traced lanes only)."""
+
+    score: np.ndarray
+    query: np.ndarray
+    subject: np.ndarray
+    scripts: list[list[tuple[str, int]]]
+
+
+def _never(small: bool) -> int:
+    """Stands for minus infinity in 16 or 32 bits."""
+    return -(1 << 13) if small else -(1 << 28)
+
 
-    Affine gaps: g residues cost open + g * extend. Rows are subject residues.
-    A cell more than `cutoff` below the best so far is dead; the band of live
-    columns moves and grows with the rows. The first best cell wins. The script,
-    with trace, runs from the start outward.
+#: Lanes that are advanced together: their rows fit a core's cache.
+LANES = 1024
+#: Rows for which query residues are laid out at a time.
+AHEAD = 64
+
+
+def gapped_sides(q: Lanes, s: Lanes, step: int, matrix: np.ndarray, gap_open: int, gap_extend: int, cutoff: int, trace: bool = False) -> Extensions:
+    """Affine X-drop extension of all lanes, from their places outward by step (1 or -1).
+
+    A gap of g residues costs open + g * extend. Row i holds the scores after i
+    subject residues. A cell more than `cutoff` below the best score before it,
+    row by row and from left to right, is dead; a lane ends with its last live
+    cell. The leftmost column of the band, which only a gap can prolong, goes as
+    soon as the column beside it is dead. The first best cell wins; substitution
+    goes before a gap in the query before a gap in the subject, prolonging a gap
+    before opening one.
     """
-    n = len(query)
-    if not n or not len(subject):
-        return 0, 0, 0, []
-    first = gap_open + gap_extend
-    cells, gaps = [0], [-first]
-    score = -first
-    while len(cells) <= n and score >= -cutoff:
-        cells.append(score)
-        gaps.append(score - first)
-        score -= gap_extend
-    if len(cells) <= n:
-        cells.append(NEVER)
-        gaps.append(NEVER)
-    start, end = 0, len(cells)
-    best, best_q, best_s = 0, 0, 0
-    rows: list[tuple[int, list[tuple[str, bool, bool]]]] = []
-    if trace:
-        rows.append((0, [(GAP_IN_SUBJECT, False, j > 1) for j in range(end)]))
-    q = query.tolist()
-    for i, code in enumerate(subject.tolist()):
-        row = matrix[code].tolist() if not isinstance(matrix, list) else matrix[code]
-        before = cells[start]
-        gap = gaps[start]
-        cells[start] = NEVER if best - gap > cutoff else gap
-        across = cells[start] - first
-        gaps[start] = gap - gap_extend
-        last, origin = start, start
-        marks = [(GAP_IN_QUERY, i > 0, False)] if trace else []
-        j = start + 1
-        while j < end:
-            score = before + row[q[j - 1]]
-            before, down = cells[j], gaps[j]
-            op = SUBSTITUTION
-            if score < down:
-                score, op = down, GAP_IN_QUERY
-            if score < across:
-                score, op = across, GAP_IN_SUBJECT
-            if best - score > cutoff:
-                if start + 1 == j:
-                    start += 1
-                cells[j] = gaps[j] = across = NEVER
-                if trace:
-                    marks.append((op, False, False))
-            else:
-                last = j
-                if score > best:
-                    best, best_q, best_s = score, j, i + 1
-                opened = score - first
-                if trace:
-                    marks.append((op, down - gap_extend >= opened, across - gap_extend >= opened))
-                gaps[j] = max(opened, down - gap_extend)
-                across = max(opened, across - gap_extend)
-                cells[j] = score
-            j += 1
-        if start + 1 == end:
-            if trace:
-                rows.append((origin, marks))
-            break
-        if last < end - 1:
-            end = last + 1
-            del cells[end:], gaps[end:]
-        else:
-            while across >= best - cutoff and end - 1 < n:
-                cells.append(across)
-                gaps.append(across - first)
-                if trace:
-                    marks.append((GAP_IN_SUBJECT, False, True))
-                across -= gap_extend
-                end += 1
-        if end - 1 < n:
-            cells.append(NEVER)
-            gaps.append(NEVER)
-            end += 1
-            if trace:
-                marks.append((GAP_IN_SUBJECT, False, False))
-        if trace:
-            rows.append((origin, marks))
-    return best, best_q, best_s, _walk(rows, best_s, best_q) if trace else []
+    n = (q.high - q.at if step > 0 else q.at - q.low + 1).astype(np.int64)
+    m = (s.high - s.at if step > 0 else s.at - s.low + 1).astype(np.int64)
+    out = Extensions(*(np.zeros(len(n), np.int64) for _ in range(3)), [[] for _ in range(len(n) if trace else 0)])
+    able = np.flatnonzero((n > 0) & (m > 0))
+    able = able[np.argsort(np.minimum(n, m)[able], kind="stable")]
+    small = cutoff + gap_open + gap_extend + 4 * int(np.abs(matrix).max()) < 2000
+    for at in range(0, len(able), LANES):
+        i = able[at : at + LANES]
+        sides = i, q.codes, q.at[i].astype(np.int64), n[i], s.codes, s.at[i].astype(np.int64), m[i], step
+        try:
+            _advance(out, *sides, _table(matrix, small), gap_open, gap_extend, cutoff, trace)
+        except OverflowError:  # a band too wide for 16 bits: once more in 32
+            out.score[i] = out.query[i] = out.subject[i] = 0
+            _advance(out, *sides, _table(matrix, False), gap_open, gap_extend, cutoff, trace)
+    return out
+
 
+def _table(matrix: np.ndarray, small: bool) -> np.ndarray:
+    """The matrix with two letters more: before the first column and behind the last one, where nothing lives."""
+    letters = matrix.shape[1]
+    table = np.full((letters, letters + 2), _never(small) // 2, np.int16 if small else np.int32)
+    table[:, :letters] = matrix
+    return table
 
-def _walk(rows: list, i: int, j: int) -> list[tuple[str, int]]:
-    """Edit script from the start to cell (row i, column j), merged into runs.
 
-    A cell's marks: its move, and whether the gap states that leave it downward
-    and across prolong the gap that enters it.
+def _advance(out: Extensions, live: np.ndarray, q_codes: np.ndarray, q_first: np.ndarray, n: np.ndarray, s_codes: np.ndarray, s_first: np.ndarray, m: np.ndarray, step: int, table: np.ndarray, gap_open: int, gap_extend: int, cutoff: int, trace: bool) -> None:
+    """gapped_sides() for some lanes (rows of out).
+
+    A lane's cells lie by diagonal: column j of row i at j - i - base, so a
+    substitution stays in its place; scores are relative to the best so far, so
+    16 bits hold them whatever the length (unless the cutoff is large). Gaps along a row are a running maximum: a
+    path through a dead cell is below the cutoff from there on, so it never
+    reaches a live one.
     """
-    path: list[str] = []
-    inside = ""
-    while i > 0 and j > 0:
-        origin, marks = rows[i]
-        move, down, across = marks[j - origin] if 0 <= j - origin < len(marks) else (SUBSTITUTION, False, False)
-        if inside == GAP_IN_QUERY and down:
-            move = GAP_IN_QUERY
-        elif inside == GAP_IN_SUBJECT and across:
-            move = GAP_IN_SUBJECT
-        path.append(move)
-        inside = move
-        if move != GAP_IN_SUBJECT:
-            i -= 1
-        if move != GAP_IN_QUERY:
-            j -= 1
-    path += [GAP_IN_QUERY] * i + [GAP_IN_SUBJECT] * j
-    return runs(reversed(path))
+    trails: dict[int, list[tuple[int, np.ndarray]]] = {int(x): [] for x in live} if trace else {}
+    wide, flat, behind = table.shape[1], table.ravel(), table.shape[1] - 1
+    kind = table.dtype.type
+    never, first = _never(kind is np.int16), kind(gap_open + gap_extend)
+    longest = int(max(n.max(), m.max()))
+    reach = min(longest, max(0, (cutoff - gap_open) // gap_extend) if gap_extend else longest) + 1  # cells that one gap can live for
+    width = 2 * reach + 8
+    base = np.full(len(live), -(reach + 2), np.int64)
+    edge = np.zeros(len(live), np.int64)  # leftmost column of the band
+    top = np.zeros(len(live), np.int64)
+    # Arrays are (cell, lane): a step to the next cell is a step to the next row of memory.
+    column = np.arange(width)[:, None] + base
+    scores = np.where(column == 0, 0, -gap_open - gap_extend * column)
+    alive = (column >= 0) & (column <= n) & (scores >= -cutoff)
+    scores = np.where(alive, scores, never).astype(kind)
+    gaps = np.where(alive, scores - first, never).astype(kind)
+
+    def laid_out(lanes: np.ndarray, i: int) -> np.ndarray:
+        """Letters of the columns that the lanes' cells are in from row i on."""
+        c = np.arange(width + AHEAD)[:, None] + (base[lanes] + i)
+        letter = q_codes[q_first[lanes] + step * np.clip(c - 1, 0, n[lanes] - 1)].astype(np.intp)
+        letter[c < 1] = behind - 1
+        letter[c > n[lanes]] = behind
+        return letter
+
+    i, loaded, ahead = 0, 0, None
+    while len(live):
+        i += 1
+        tight = alive[0] | alive[width - reach :].any(axis=0)
+        if tight.any():  # no room for a column to the left or a whole gap to the right
+            at = np.flatnonzero(tight)
+            low, high = alive[:, at].argmax(axis=0), width - 1 - alive[::-1, at].argmax(axis=0)
+            if (need := int((high - low).max()) + reach + 3) > width:
+                more = np.full((need, len(live)), never, kind)
+                scores, gaps = np.vstack([scores, more]), np.vstack([gaps, more])
+                width += need
+                if kind is np.int16 and width * gap_extend > 8000:
+                    raise OverflowError("a wide band")
+                ahead = None
+            shift = (width - reach - (high - low)) // 2 - low
+            source = np.arange(width)[:, None] - shift
+            outside = (source < 0) | (source >= width)
+            source = np.clip(source, 0, width - 1)
+            for x in (scores, gaps):
+                x[:, at] = np.where(outside, never, np.take_along_axis(x[:, at], source, axis=0))
+            base[at] -= shift
+            if ahead is not None:
+                ahead[:, at] = laid_out(at, loaded)
+        if ahead is None or i - loaded >= AHEAD:
+            loaded, ahead = i, laid_out(np.arange(len(live)), i)
+        letter = ahead[i - loaded : i - loaded + width]
+        entered = flat.take(letter + s_codes[s_first + step * (i - 1)].astype(np.intp) * wide, mode="clip")
+        entered += scores
+        substituted = entered.copy() if trace else None
+        np.maximum(entered[:-1], gaps[1:], out=entered[:-1])
+        slope = (np.arange(width, dtype=kind) * kind(gap_extend))[:, None]
+        side = _running_maximum(entered + slope)
+        side -= slope + kind(gap_open + gap_extend)
+        side = np.concatenate([np.full((1, len(live)), never, kind), side[:-1]])
+        limit = _running_maximum(entered.copy())
+        peak = np.maximum(limit[-1], 0)
+        np.maximum(limit, 0, out=limit)
+        limit -= kind(cutoff)
+        now = np.maximum(entered, side)
+        alive = now >= limit
+        alive &= letter != behind
+        # The band's left edge.
+        k = edge - i - base
+        known = np.flatnonzero((k >= 0) & (k + 1 < width))
+        follows = np.zeros(len(live), bool)
+        follows[known] = alive[k[known] + 1, known]
+        lost = known[~follows[known]]
+        alive[k[lost], lost] = False
+        if trace:
+            entering = np.full_like(now, never)
+            entering[:-1] = gaps[1:]
+            opened = now - first
+            marks = np.where(substituted >= np.maximum(entering, side), 0, np.where(entering >= side, 1, 2)) + 4 * (entering - gap_extend >= opened) + 8 * (side - gap_extend >= opened)
+            marks = np.ascontiguousarray(marks.T.astype(np.uint8))
+            for r, lane in enumerate(live.tolist()):
+                trails[lane].append((int(base[r]) + i, marks[r]))
+        if (r := np.flatnonzero(peak)).size:
+            top[r] += peak[r]
+            out.score[live[r]], out.subject[live[r]] = top[r], i
+            out.query[live[r]] = base[r] + i + entered[:, r].argmax(axis=0)
+        edge = np.where(follows, edge, alive.argmax(axis=0) + base + i - 1)
+        left = now - first
+        np.maximum(left[:-1], gaps[1:] - kind(gap_extend), out=left[:-1])
+        # Dead cells fall below `never`, then everything is lifted to it.
+        fall = alive.astype(kind)
+        fall -= kind(1)
+        fall *= kind(-never)
+        fall -= peak
+        now += fall
+        left += fall
+        scores, gaps = np.maximum(now, kind(never), out=now), np.maximum(left, kind(never), out=left)
+        go = alive.any(axis=0) & (i < m)
+        if not go.all():
+            live, n, m, q_first, s_first, base, edge, top = (x[go] for x in (live, n, m, q_first, s_first, base, edge, top))
+            scores, gaps, alive, ahead = (np.ascontiguousarray(x[:, go]) for x in (scores, gaps, alive, ahead))
+    for lane, trail in trails.items():
+        out.scripts[lane] = path_back(trail, int(out.subject[lane]), int(out.query[lane]))
+
+
+def _running_maximum(x: np.ndarray) -> np.ndarray:
+    """Greatest value up to each cell, in place: by steps of 1, 2, 4, ... cells."""
+    step = 1
+    while step < len(x):
+        x[step:] = np.maximum(x[step:], x[:-step])
+        step *= 2
+    return x
+
+
+def path_back(trail: list[tuple[int, np.ndarray]], i: int, j: int) -> list[tuple[str, int]]:
+    """Edit script from the start to cell (i, j). trail: for rows 1, 2, ... the first column and each cell's marks: move (0-2), 4: the gap downward goes on, 8: the gap along the row goes on."""
+    ops, gap = [], 0
+    while i and j:
+        origin, marks = trail[i - 1]
+        mark = int(marks[j - origin])
+        gap = gap if gap and mark & 4 * gap else mark & 3
+        ops.append((SUBSTITUTION, GAP_IN_QUERY, GAP_IN_SUBJECT)[gap])
+        i, j = i - (gap != 2), j - (gap != 1)
+    ops += [GAP_IN_QUERY] * i + [GAP_IN_SUBJECT] * j
+    return runs(reversed(ops))
+
+
+def gapped_side(query: np.ndarray, subject: np.ndarray, matrix: np.ndarray, gap_open: int, gap_extend: int, cutoff: int, trace: bool = False) -> tuple[int, int, int, list[tuple[str, int]]]:
+    """gapped_sides() of one lane, from the start of both arrays: (score, query residues, subject residues, edit script)."""
+    one = lambda codes: Lanes(codes, np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, len(codes)))
+    found = gapped_sides(one(query), one(subject), 1, np.asarray(matrix), gap_open, gap_extend, cutoff, trace)
+    return int(found.score[0]), int(found.query[0]), int(found.subject[0]), found.scripts[0] if trace else []
 
 
 def runs(ops) -> list[tuple[str, int]]:
@@ -226,11 +310,10 @@ class Alignment:
     script: list[tuple[str, int]]
 
 
-def gapped(query: np.ndarray, subject: np.ndarray, q: int, s: int, matrix: np.ndarray, gap_open: int, gap_extend: int, cutoff: int, trace: bool = False) -> Alignment:
-    """Extension from a hit to both sides: to the left from before it, to the right from it."""
-    a, aq, as_, left = gapped_side(query[:q][::-1], subject[:s][::-1], matrix, gap_open, gap_extend, cutoff, trace)
-    b, bq, bs, right = gapped_side(query[q:], subject[s:], matrix, gap_open, gap_extend, cutoff, trace)
-    return Alignment(a + b, q - aq, q + bq - 1, s - as_, s + bs - 1, merge(flip(left), right))
+def gapped_hits(q: Lanes, s: Lanes, matrix: np.ndarray, gap_open: int, gap_extend: int, cutoff: int, trace: bool = False) -> tuple[Extensions, Extensions]:
+    """Extensions of hits to both sides: to the left from before each hit, to the right from it."""
+    before = [Lanes(x.codes, x.at - 1, x.low, x.high) for x in (q, s)]
+    return gapped_sides(*before, -1, matrix, gap_open, gap_extend, cutoff, trace), gapped_sides(q, s, 1, matrix, gap_open, gap_extend, cutoff, trace)
 
 
 def edit_counts(query: np.ndarray, subject: np.ndarray, a: Alignment) -> tuple[int, int, int, int]:

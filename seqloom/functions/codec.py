@@ -91,6 +91,11 @@ def string_distance(a: Column, b: Column) -> Column:
     return F.aggregate(pairs, F.lit(0), lambda acc, x: acc + x)
 
 
+def context_distance(a: Column, b: Column, packed: bool) -> Column:
+    """Differing classes of two contexts, packed or class strings."""
+    return nibble_distance(a, b) if packed else string_distance(a, b)
+
+
 def similarity_checked(position: Column, frame_length: Column, length: int = 10) -> Column:
     """Whether a seed's context lies inside its frame (1-based position)."""
     half = length // 2

@@ -20,11 +20,12 @@ def distances(one: int, many: np.ndarray) -> np.ndarray:
 
 
 def leaders(contexts: np.ndarray, most: int) -> np.ndarray:
-    """Leader's row of each context, in order: the first free one leads, later free ones within `most` mismatches follow it."""
+    """Leader's row of each context (packed numbers, or rows of a matrix of classes), in order: the first free one leads, later free ones within `most` mismatches follow it."""
     out = np.full(len(contexts), -1, np.int64)
     free = np.arange(len(contexts))
     while len(free):
-        near = distances(int(contexts[free[0]]), contexts[free]) <= most
+        one, many = contexts[free[0]], contexts[free]
+        near = (distances(int(one), many) if contexts.ndim == 1 else (many != one).sum(axis=1)) <= most
         out[free[near]] = free[0]
         free = free[~near]
     return out
@@ -36,7 +37,9 @@ def cluster(seeds: DataFrame, most: int = 1) -> tuple[DataFrame, DataFrame]:
     Within a hash, seeds with a context are taken by (seq_id, pos). Seeds of one
     context always share their fate, so only distinct contexts of a hash (at most
     classes ** (context - shortest overlap)) meet in a task, pre-aggregated; a
-    hash that a third of all positions have costs a row a distinct context.
+    hash that a third of all positions have costs a row a distinct context. Seeds
+    (a written table, read twice) are joined with their clusters once; contexts
+    that very many seeds share are sent to the seeds instead.
     """
     spark = seeds.sparkSession
     runtime.ship(spark)
@@ -47,7 +50,12 @@ def cluster(seeds: DataFrame, most: int = 1) -> tuple[DataFrame, DataFrame]:
         held: list[pa.RecordBatch] = []
 
         def solve(t: pa.Table) -> pa.RecordBatch:
-            h, c = t.column("hash").to_numpy(), t.column("ctx").to_numpy()
+            h, c = t.column("hash").to_numpy(), t.column("ctx").combine_chunks()
+            if pa.types.is_string(c.type):
+                shown = np.array(c.to_pylist(), object)
+                c = np.frombuffer("".join(shown).encode(), np.uint8).reshape(len(h), -1)
+            else:
+                shown = c = c.to_numpy()
             n = t.column("n").to_numpy()
             cuts = np.flatnonzero(np.append(True, h[1:] != h[:-1])).tolist() + [len(h)]
             lead = np.empty(len(h), np.int64)
@@ -55,7 +63,7 @@ def cluster(seeds: DataFrame, most: int = 1) -> tuple[DataFrame, DataFrame]:
                 lead[a:b] = a + leaders(c[a:b], most) if b - a > 1 else a
             size = np.bincount(lead, weights=n, minlength=len(h))
             keep = size[lead] > 1
-            return pa.RecordBatch.from_pydict({"hash": h[keep], "ctx": c[keep], "rep_ctx": c[lead][keep], "rep_seq": t.column("seq_id").to_numpy()[lead][keep], "rep_pos": t.column("pos").to_numpy()[lead][keep]})
+            return pa.RecordBatch.from_pydict({"hash": h[keep], "n": n[keep], "ctx": shown[keep], "rep_ctx": shown[lead][keep], "rep_seq": t.column("seq_id").to_numpy()[lead][keep], "rep_pos": t.column("pos").to_numpy()[lead][keep]})
 
         for batch in batches:
             if not batch.num_rows:
@@ -72,7 +80,8 @@ def cluster(seeds: DataFrame, most: int = 1) -> tuple[DataFrame, DataFrame]:
 
     n = runtime.partitions_for(seeds, 16 << 20)
     ordered = distinct.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), "hash").sortWithinPartitions("hash", "seq_id", "pos")
-    homes = runtime.materialize(ordered.mapInArrow(run, "hash bigint, ctx bigint, rep_ctx bigint, rep_seq bigint, rep_pos int"))
-    clustered = seeds.join(homes, ["hash", "ctx"]).withColumn("is_rep", (F.col("seq_id") == F.col("rep_seq")) & (F.col("pos") == F.col("rep_pos"))).drop("rep_seq", "rep_pos")
-    single = seeds.join(homes.select("hash", "ctx"), ["hash", "ctx"], "left_anti").select("hash", "seq_id", "pos", "seed_len", "ctx")
-    return clustered, single
+    kind = dict(seeds.dtypes)["ctx"]
+    homes = runtime.materialize(ordered.mapInArrow(run, f"hash bigint, n bigint, ctx {kind}, rep_ctx {kind}, rep_seq bigint, rep_pos int"))
+    placed = runtime.join_hot(seeds, homes, ["hash", "ctx"], "n", "left")
+    placed = runtime.materialize(placed.withColumn("is_rep", (F.col("seq_id") == F.col("rep_seq")) & (F.col("pos") == F.col("rep_pos"))).drop("rep_seq", "rep_pos", "n"))
+    return placed.where("rep_ctx is not null"), placed.where("rep_ctx is null").select("hash", "seq_id", "pos", "seed_len", "ctx")

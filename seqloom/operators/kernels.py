@@ -14,6 +14,7 @@ from seqloom.functions import alignment as al
 from seqloom.functions import masking
 from seqloom.functions import statistics as st
 from seqloom.functions.alphabet import BLOSUM62, ScoreMatrix
+from seqloom.operators import search
 
 
 def locate(places: DataFrame, sequences: DataFrame, block: int = 1 << 16) -> DataFrame:
@@ -22,8 +23,7 @@ def locate(places: DataFrame, sequences: DataFrame, block: int = 1 << 16) -> Dat
     A range join by equality on blocks of places: a sequence is listed for each
     block that it touches.
     """
-    n = F.length("seq")
-    bounds = sequences.select("seq_id", n.alias("n")).select("seq_id", "n", F.sum("n").over(Window.orderBy("seq_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("high"))
+    bounds = runtime.running_sum(sequences.select("seq_id", F.length("seq").cast("bigint").alias("n")), "seq_id", "n", "high")
     spans = bounds.where("n > 0").withColumn("low", F.col("high") - F.col("n")).withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))))
     keyed = places.withColumn("block", F.floor(F.col("place") / block))
     return keyed.join(spans, "block").where("place >= low and place < high").withColumn("offset", F.col("place") - F.col("low")).drop("block", "low", "high", "n")
@@ -73,21 +73,23 @@ def length_adjustments(queries: DataFrame, total: int, sequences: int, p: st.Kar
     return queries.select(F.col("query_id").cast("bigint"), F.coalesce(F.length("seq"), F.lit(0)).cast("bigint")).mapInArrow(run, "query_id bigint, adjustment bigint, space bigint")
 
 
-def ungapped_scores(pairs: DataFrame, matrix: ScoreMatrix = BLOSUM62) -> DataFrame:
-    """query_id, frame, seq_id, q_pos, s_pos, score of each hit of pair_hits() rows."""
-    runtime.ship(pairs.sparkSession)
+def ungapped_scores(hits: DataFrame, frames: DataFrame, sequences: DataFrame, matrix: ScoreMatrix = BLOSUM62) -> DataFrame:
+    """query_id, frame, seq_id, q_pos, s_pos, score of each hit."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = matrix.values.astype(np.int64)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                query_id, frame, seq_id, q, s, ux = (batch.column(k)[i].as_py() for k in range(6))
-                hits = batch.column(7)[i].values
-                sp, qp = hits.field("s_pos").to_numpy().astype(np.int64), hits.field("q_pos").to_numpy().astype(np.int64)
-                a, b = matrix.alphabet.encode(q), matrix.alphabet.encode(s)
-                n = len(sp)
-                zero = np.zeros(n, np.int64)
-                score = al.ungapped_score(al.Lanes(a, qp - 1, zero, np.full(n, len(a))), al.Lanes(b, sp - 1, zero, np.full(n, len(b))), values, np.full(n, ux))
-                yield pa.RecordBatch.from_pydict({"query_id": np.full(n, query_id), "frame": np.full(n, frame, np.int32), "seq_id": np.full(n, seq_id), "q_pos": qp.astype(np.int32), "s_pos": sp.astype(np.int32), "score": score})
-
-    return pairs.mapInArrow(run, "query_id bigint, frame int, seq_id bigint, q_pos int, s_pos int, score bigint")
+    def kernel(hits: search.Hits) -> pa.RecordBatch:
+        score = al.ungapped_score(hits.q, hits.s, matrix.values, hits.ux)
+        q_pos, s_pos = (x + np.int32(1) for x in hits.places.values())
+        return pa.RecordBatch.from_pydict({"query_id": hits.query_id, "frame": hits.frame, "seq_id": hits.seq_id, "q_pos": q_pos, "s_pos": s_pos, "score": score.astype(np.int64)})
+
+    return search.extend_hits(hits, frames, sequences, kernel, "query_id bigint, frame int, seq_id bigint, q_pos int, s_pos int, score bigint", matrix)
+
+
+def chain_filter(hits: DataFrame, frames: DataFrame, sequences: DataFrame, matrix: ScoreMatrix = BLOSUM62) -> DataFrame:
+    """query_id, frame, seq_id, q_pos, s_pos of the hits that are not connected to the one before them on their diagonal."""
+
+    def kernel(hits: search.Hits) -> pa.RecordBatch:
+        kept = hits.take(search.unchained(hits, matrix.values))
+        q_pos, s_pos = (x + np.int32(1) for x in kept.places.values())
+        return pa.RecordBatch.from_pydict({"query_id": kept.query_id, "frame": kept.frame, "seq_id": kept.seq_id, "q_pos": q_pos, "s_pos": s_pos})
+
+    return search.extend_hits(hits, frames, sequences, kernel, "query_id bigint, frame int, seq_id bigint, q_pos int, s_pos int", matrix)

@@ -7,20 +7,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def order() -> list[Column]:
-    """Score, then query span, then subject span, all descending; then place in the database and in the query."""
-    return [F.desc("score"), (F.col("q_end") - F.col("q_start")).desc(), (F.col("s_end") - F.col("s_start")).desc(), F.asc("seq_id"), F.asc("s_start"), F.asc("q_start"), F.asc("frame")]
+HITS = ("s_hit", "q_hit")
+
+
+def order(alignments: DataFrame) -> list[Column]:
+    """Score, then query span, then subject span, all descending; then place in the database and in the query, and that of the hit where there is one."""
+    hit = [F.asc(c) for c in HITS if c in alignments.columns]
+    return [F.desc("score"), (F.col("q_end") - F.col("q_start")).desc(), (F.col("s_end") - F.col("s_start")).desc(), F.asc("seq_id"), F.asc("s_start"), F.asc("q_start"), F.asc("frame"), *hit]
 
 
 def best_per_subject(alignments: DataFrame) -> DataFrame:
     """The first alignment of each query and subject."""
-    w = Window.partitionBy("query_id", "seq_id").orderBy(*order())
+    w = Window.partitionBy("query_id", "seq_id").orderBy(*order(alignments))
     return alignments.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
 def top_k(alignments: DataFrame, k: int) -> DataFrame:
     """The first k alignments of each query, with their rank. The rank filter is pushed below the shuffle."""
-    w = Window.partitionBy("query_id").orderBy(*order())
+    w = Window.partitionBy("query_id").orderBy(*order(alignments))
     return alignments.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -41,10 +45,10 @@ def cap_per_subject(alignments: DataFrame, cap: int) -> DataFrame:
     """
     if cap == 1:
         return best_per_subject(alignments)
-    columns = alignments.columns
+    columns, hit = alignments.columns, [c for c in HITS if c in alignments.columns]
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_q=pdf.q_end - pdf.q_start, _s=pdf.s_end - pdf.s_start).sort_values(["score", "_q", "_s", "s_start", "q_start", "frame"], ascending=[False, False, False, True, True, True], kind="stable")
+        pdf = pdf.assign(_q=pdf.q_end - pdf.q_start, _s=pdf.s_end - pdf.s_start).sort_values(["score", "_q", "_s", "s_start", "q_start", "frame", *hit], ascending=[False] * 3 + [True] * (3 + len(hit)), kind="stable")
         taken: list[tuple] = []
         rows = []
         for i, r in enumerate(pdf.itertuples(index=False)):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,16 +80,16 @@ def prepare(queries: DataFrame, dna: bool, options: SearchOptions) -> DataFrame:
     return frames_of(queries, dna).mapInArrow(run, "query_id bigint, frame int, name string, base_len int, m int, masked string, ux int, trigger int")
 
 
-def seed_hits(query_seeds: DataFrame, clustered: DataFrame, single: DataFrame, most: int) -> DataFrame:
+def seed_hits(query_seeds: DataFrame, clustered: DataFrame, single: DataFrame, most: int, packed: bool = True) -> DataFrame:
     """query_id, frame, q_pos, seq_id, s_pos of seed matches.
 
     Clusters are judged by their representatives, one row a cluster: a query seed
     within most + 1 mismatches of it (or without a context of its own) passes to
     all members; the representative itself needs `most`. Seeds of no cluster
-    match by hash alone. All joins are on the hash, so a database bucketed by
-    hash is not moved.
+    match by hash alone. Give query_seeds as a written table: where its size is
+    small, Spark sends it to the database's seeds, which then stay in place.
     """
-    distance = F.when(F.col("checked"), codec.nibble_distance(F.col("q_ctx"), F.col("rep_ctx"))).otherwise(0)
+    distance = F.when(F.col("checked"), codec.context_distance(F.col("q_ctx"), F.col("rep_ctx"), packed)).otherwise(0)
     heads = clustered.select("hash", "rep_ctx").distinct()
     passed = query_seeds.join(heads, "hash").withColumn("d", distance).where(F.greatest(F.col("d") - 1, F.lit(0)) <= most)
     members = passed.join(clustered.select("hash", "rep_ctx", "seq_id", "pos", "is_rep"), ["hash", "rep_ctx"]).where(~F.col("is_rep") | (F.col("d") <= most))
@@ -96,89 +97,226 @@ def seed_hits(query_seeds: DataFrame, clustered: DataFrame, single: DataFrame, m
     return members.select(*columns).unionByName(query_seeds.join(single, "hash").select(*columns))
 
 
-def pair_hits(hits: DataFrame, frames: DataFrame, sequences: DataFrame) -> DataFrame:
-    """A row for each (query, frame, subject) with all its hits, ordered, and both sequences; bounded by the two lengths."""
-    hit = F.struct("s_pos", "q_pos")
-    packed = hits.groupBy("query_id", "frame", "seq_id").agg(F.array_sort(F.collect_set(hit)).alias("hits"))
-    return packed.join(frames.select("query_id", "frame", "masked", "ux", "trigger"), ["query_id", "frame"]).join(sequences.select("seq_id", "seq"), "seq_id").select("query_id", "frame", "seq_id", "masked", "seq", "ux", "trigger", "hits")
+#: Frames of queries that are sent to every task at a time; more queries go block by block.
+FRAME_BYTES = 64 << 20
+#: Hits of a subject that one task extends; a subject with more is sent to several.
+SUBJECT_HITS = 1 << 18
+#: Hits that a kernel extends at a time.
+BLOCK_HITS = 20_000
 
 
-def triggered(q: np.ndarray, s: np.ndarray, at: np.ndarray, matrix: np.ndarray, ux: int, trigger: int) -> np.ndarray:
-    """Rows of `at` (subject place, query place; 0-based) whose ungapped score exceeds the trigger."""
-    n = len(at)
-    zero, drop = np.zeros(n, np.int64), np.full(n, ux)
-    score = al.ungapped_score(al.Lanes(q, at[:, 1], zero, np.full(n, len(q))), al.Lanes(s, at[:, 0], zero, np.full(n, len(s))), matrix, drop)
-    return score > trigger
+class Frames:
+    """Masked frames of a block of queries, as one array of codes."""
+
+    def __init__(self, table: pa.Table, matrix: ScoreMatrix):
+        texts = table.column("masked").to_pylist()
+        self.codes = np.concatenate([np.zeros(0, np.uint8), *(matrix.alphabet.encode(x) for x in texts)])
+        lengths = np.array([len(x) for x in texts], np.int64)
+        self.high = np.cumsum(lengths)
+        self.low = self.high - lengths
+        self.ux, self.trigger = (table.column(c).to_numpy().astype(np.int64) for c in ("ux", "trigger"))
+        self.queries, at = np.unique(table.column("query_id").to_numpy(), return_inverse=True)
+        self.row = np.full(len(self.queries) * 6, -1)
+        self.row[at * 6 + table.column("frame").to_numpy()] = np.arange(len(texts))
+
+    def rows(self, query_id: np.ndarray, frame: np.ndarray) -> np.ndarray:
+        return self.row[np.searchsorted(self.queries, query_id) * 6 + frame]
+
+
+@dataclass
+class Hits:
+    """Seed hits with the sequences around them, by subject, query, frame, diagonal and place."""
+
+    query_id: np.ndarray
+    frame: np.ndarray
+    seq_id: np.ndarray
+    q: al.Lanes
+    s: al.Lanes
+    ux: np.ndarray
+    trigger: np.ndarray
+    follows: np.ndarray  # the hit before is on the same diagonal of the same frame and subject
+
+    def take(self, i: np.ndarray) -> Hits:
+        """Some of the hits, in order."""
+        line = np.cumsum(~self.follows)[i]
+        lanes = lambda x: al.Lanes(x.codes, x.at[i], x.low[i], x.high[i])
+        return Hits(self.query_id[i], self.frame[i], self.seq_id[i], lanes(self.q), lanes(self.s), self.ux[i], self.trigger[i], np.append(False, line[1:] == line[:-1])[: len(i)])
+
+    @property
+    def places(self) -> dict[str, np.ndarray]:
+        """0-based places in query and subject."""
+        return {"q_hit": (self.q.at - self.q.low).astype(np.int32), "s_hit": (self.s.at - self.s.low).astype(np.int32)}
+
+
+def extend_hits(hits: DataFrame, frames: DataFrame, sequences: DataFrame, kernel: Callable[[Hits], pa.RecordBatch | None], schema: str, matrix: ScoreMatrix = BLOSUM62) -> DataFrame:
+    """Apply kernel to all hits (query_id, frame, seq_id, q_pos, s_pos) with their sequences.
+
+    A subject with hits is moved once, whatever their number (once a part where
+    it has more than SUBJECT_HITS, dealt by query and frame); hits follow it in
+    order, as plain rows. Frames are sent to all tasks up to FRAME_BYTES; where
+    there are more, block by block of queries.
+    """
+    spark = hits.sparkSession
+    runtime.ship(spark)
+    size = frames.agg(F.coalesce(F.sum(F.length("masked") + 64), F.lit(0))).first()[0]
+    blocks = max(1, math.ceil(size / FRAME_BYTES))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    rows = hits.select("query_id", "frame", "seq_id", F.col("s_pos").cast("int").alias("s_pos"), (F.col("s_pos") - F.col("q_pos")).cast("int").alias("diagonal"), block.alias("block"))
+    rows = runtime.materialize(rows, partition_by="block" if blocks > 1 else None)
+    out = None
+    for b in range(blocks):
+        part = frames.where(block == b).select("query_id", "frame", "masked", "ux", "trigger").toArrow()
+        made = _extend_block(rows.where(F.col("block") == b) if blocks > 1 else rows, Frames(part, matrix), sequences, kernel, schema, matrix)
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def _extend_block(rows: DataFrame, frames: Frames, sequences: DataFrame, kernel: Callable[[Hits], pa.RecordBatch | None], schema: str, matrix: ScoreMatrix) -> DataFrame:
+    spark = rows.sparkSession
+    counts = runtime.materialize(rows.groupBy("seq_id").agg(F.ceil(F.count("*") / F.lit(SUBJECT_HITS)).cast("int").alias("parts")))
+    hot = counts.where("parts > 1")
+    dealt = rows.join(hot, "seq_id", "left").withColumn("part", F.pmod(F.xxhash64("query_id", "frame"), F.coalesce("parts", F.lit(1))).cast("int"))
+    subjects = sequences.select(F.col("seq_id").cast("bigint").alias("seq_id"), "seq").join(counts, "seq_id").select("seq_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "seq")
+    key = ["seq_id", "part", "query_id", "frame", "diagonal", "s_pos"]
+    both = dealt.select(*key, F.lit(None).cast("string").alias("seq")).unionByName(subjects, allowMissingColumns=True).select(*key, "seq")
+    shared = spark.sparkContext.broadcast(frames)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = shared.value
+        held: list[pa.RecordBatch] = []
+        size, subject = 0, np.zeros(0, np.uint8)  # the subject that the first rows at hand belong to
+
+        def solve(t: pa.Table) -> tuple[pa.RecordBatch | None, np.ndarray]:
+            texts = t.column("seq").drop_null().to_pylist()
+            codes = [subject, *(matrix.alphabet.encode(x or "") for x in texts)]
+            is_hit = t.column("seq").is_null().to_numpy()
+            at = np.flatnonzero(is_hit)
+            if not len(at):
+                return None, codes[-1]
+            owner = np.cumsum(~is_hit)[at]
+            lengths = np.array([len(x) for x in codes], np.int64)
+            high = np.cumsum(lengths)
+            low = high - lengths
+            # A subject's row comes before its hits: nulls, which sort first.
+            number = lambda name: t.column(name).fill_null(0).to_numpy()[at].astype(np.int64)
+            seq_id, query_id, frame, diagonal, s_pos = map(number, ("seq_id", "query_id", "frame", "diagonal", "s_pos"))
+            row = f.rows(query_id, frame)
+            line = np.stack([owner, row, diagonal])
+            follows = np.append(False, (line[:, 1:] == line[:, :-1]).all(axis=0))
+            q = al.Lanes(f.codes, f.low[row] + s_pos - diagonal - 1, f.low[row], f.high[row])
+            s = al.Lanes(np.concatenate(codes), low[owner] + s_pos - 1, low[owner], high[owner])
+            return kernel(Hits(query_id, frame.astype(np.int32), seq_id, q, s, f.ux[row], f.trigger[row], follows)), codes[-1]
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < BLOCK_HITS:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            line = np.stack([t.column(c).fill_null(-1).to_numpy().astype(np.int64) for c in key[:-1]])
+            cut = int((line != line[:, -1:]).any(axis=0).nonzero()[0].max(initial=-1)) + 1
+            if cut:  # a diagonal's hits stay together
+                found, subject = solve(t.slice(0, cut))
+                if found is not None:
+                    yield found
+                held = t.slice(cut).to_batches()
+                size = t.num_rows - cut
+        if held:
+            found, _ = solve(pa.Table.from_batches(held).combine_chunks())
+            if found is not None:
+                yield found
+
+    partitions = max(runtime.partitions_for(rows, 1 << 20), int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return both.repartition(partitions, "seq_id", "part").sortWithinPartitions(*key).mapInArrow(run, schema)
+
+
+def unchained(hits: Hits, matrix: np.ndarray) -> np.ndarray:
+    """Rows of the hits that stay: those not connected to the hit before them on their diagonal."""
+    i = np.flatnonzero(hits.follows)
+    stays = np.ones(len(hits.follows), bool)
+    if len(i):
+        some = hits.take(i)
+        before = hits.q.at[i - 1]
+        stays[i[al.connected(some.q, some.s, before, matrix, some.ux)]] = False
+    return np.flatnonzero(stays)
 
 
 def chained(q: np.ndarray, s: np.ndarray, at: np.ndarray, matrix: np.ndarray, ux: int) -> np.ndarray:
-    """Which hits stay: those not connected to the hit before them on their diagonal."""
+    """Which hits (subject place, query place; 0-based) of two sequences stay, by unchained()."""
+    n = len(at)
     order = np.lexsort((at[:, 0], at[:, 0] - at[:, 1]))
     d = at[order]
-    diagonal = d[:, 0] - d[:, 1]
+    diagonal, zero = d[:, 0] - d[:, 1], np.zeros(n, np.int64)
     follows = np.append(False, diagonal[1:] == diagonal[:-1])
-    stays = np.ones(len(at), bool)
-    i = np.flatnonzero(follows)
-    if len(i):
-        n = len(i)
-        zero = np.zeros(n, np.int64)
-        joined = al.connected(al.Lanes(q, d[i, 1], zero, np.full(n, len(q))), al.Lanes(s, d[i, 0], zero, np.full(n, len(s))), d[i - 1, 1], matrix, np.full(n, ux))
-        stays[order[i[joined]]] = False
+    hits = Hits(zero, zero, zero, al.Lanes(q, d[:, 1], zero, np.full(n, len(q))), al.Lanes(s, d[:, 0], zero, np.full(n, len(s))), np.full(n, ux), zero, follows)
+    stays = np.zeros(n, bool)
+    stays[order[unchained(hits, matrix)]] = True
     return stays
 
 
-def presearch(pairs: DataFrame, options: SearchOptions) -> DataFrame:
+def triggered(hits: Hits, matrix: np.ndarray) -> np.ndarray:
+    """Rows of the hits whose ungapped score exceeds their query's trigger."""
+    return np.flatnonzero(al.ungapped_score(hits.q, hits.s, matrix, hits.ux) > hits.trigger)
+
+
+CANDIDATE = "query_id bigint, frame int, seq_id bigint, score int, q_start int, q_end int, s_start int, s_end int, q_hit int, s_hit int"
+
+
+def presearch(hits: DataFrame, frames: DataFrame, sequences: DataFrame, options: SearchOptions) -> DataFrame:
     """query_id, frame, seq_id, score, q_start, q_end, s_start, s_end, q_hit, s_hit of candidates (0-based).
 
-    For each pair of sequences: ungapped trigger, chain filter, gapped extension
-    without traceback, cheap to dear.
+    Cheap to dear: ungapped trigger, chain filter, gapped extension without
+    traceback, each over many hits at once.
     """
-    runtime.ship(pairs.sparkSession)
-    matrix, alphabet = options.matrix.values, options.matrix.alphabet
-    rows = matrix.tolist()
+    matrix = options.matrix.values
     cutoff = st.score_from_bits(options.presearch_bits, options.gapped[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = matrix.astype(np.int64)
-        for batch in batches:
-            out: list[tuple] = []
-            for i in range(batch.num_rows):
-                query_id, frame, seq_id, masked, seq, ux, trigger = (batch.column(k)[i].as_py() for k in range(7))
-                hits = batch.column(7)[i].values
-                at = np.column_stack([hits.field("s_pos").to_numpy(), hits.field("q_pos").to_numpy()]).astype(np.int64) - 1
-                q, s = alphabet.encode(masked), alphabet.encode(seq)
-                at = at[triggered(q, s, at, wide, ux, trigger)]
-                if not len(at):
-                    continue
-                for sp, qp in at[chained(q, s, at, wide, ux)].tolist():
-                    a = al.gapped(q, s, qp, sp, rows, options.gap_open, options.gap_extend, cutoff)
-                    out.append((query_id, frame, seq_id, a.score, a.q_start, a.q_end, a.s_start, a.s_end, qp, sp))
-            if out:
-                names = ["query_id", "frame", "seq_id", "score", "q_start", "q_end", "s_start", "s_end", "q_hit", "s_hit"]
-                yield pa.RecordBatch.from_pydict({k: pa.array(c, pa.int64() if k in ("query_id", "seq_id") else pa.int32()) for k, c in zip(names, zip(*out, strict=True), strict=True)})
+    def kernel(hits: Hits) -> pa.RecordBatch | None:
+        hits = hits.take(triggered(hits, matrix))
+        hits = hits.take(unchained(hits, matrix))
+        if not len(hits.seq_id):
+            return None
+        left, right = al.gapped_hits(hits.q, hits.s, matrix, options.gap_open, options.gap_extend, cutoff)
+        return pa.RecordBatch.from_pydict({"query_id": hits.query_id, "frame": hits.frame, "seq_id": hits.seq_id} | spans(left, right, hits.places) | hits.places)
+
+    return extend_hits(hits, frames, sequences, kernel, CANDIDATE, options.matrix)
+
 
-    return runtime.spread(pairs).mapInArrow(run, "query_id bigint, frame int, seq_id bigint, score int, q_start int, q_end int, s_start int, s_end int, q_hit int, s_hit int")
+def spans(left: al.Extensions, right: al.Extensions, places: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """score, q_start, q_end, s_start, s_end (0-based, inclusive) of extensions to both sides of hits."""
+    q, s = places["q_hit"], places["s_hit"]
+    found = {"score": left.score + right.score, "q_start": q - left.query, "q_end": q + right.query - 1, "s_start": s - left.subject, "s_end": s + right.subject - 1}
+    return {k: v.astype(np.int32) for k, v in found.items()}
 
 
 def final_alignments(chosen: DataFrame, frames: DataFrame, sequences: DataFrame, options: SearchOptions) -> DataFrame:
     """The chosen candidates extended again with traceback and the final drop: coordinates, length, mismatches, gap openings and extensions, cigar."""
     runtime.ship(chosen.sparkSession)
     matrix, alphabet = options.matrix.values, options.matrix.alphabet
-    rows = matrix.tolist()
     cutoff = st.score_from_bits(options.final_bits, options.gapped[0])
     joined = chosen.select("query_id", "frame", "seq_id", "q_hit", "s_hit").join(frames.select("query_id", "frame", "masked"), ["query_id", "frame"]).join(sequences.select("seq_id", "seq"), "seq_id")
 
+    def lanes(texts: list[str], at: np.ndarray) -> al.Lanes:
+        codes = [alphabet.encode(x) for x in texts]
+        high = np.cumsum([len(x) for x in codes])
+        low = high - [len(x) for x in codes]
+        return al.Lanes(np.concatenate(codes), low + at, low, high)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for query_id, frame, seq_id, qp, sp, masked, seq in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                q, s = alphabet.encode(masked), alphabet.encode(seq)
-                a = al.gapped(q, s, qp, sp, rows, options.gap_open, options.gap_extend, cutoff, trace=True)
-                length, mismatches, opens, extends = al.edit_counts(q, s, a)
-                out.append((query_id, frame, seq_id, a.score, a.q_start, a.q_end, a.s_start, a.s_end, length, mismatches, opens, extends, "".join(f"{n}{'M' if op == al.SUBSTITUTION else op}" for op, n in a.script)))
-            if out:
-                names = ["query_id", "frame", "seq_id", "score", "q_start", "q_end", "s_start", "s_end", "length", "mismatches", "gap_opens", "gap_extends", "cigar"]
-                kind = lambda k: pa.string() if k == "cigar" else pa.int64() if k in ("query_id", "seq_id") else pa.int32()
-                yield pa.RecordBatch.from_pydict({k: pa.array(c, kind(k)) for k, c in zip(names, zip(*out, strict=True), strict=True)})
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):  # traced cells of some lanes at a time
+                batch = whole.slice(at, 200)
+                places = {"q_hit": batch.column(3).to_numpy(), "s_hit": batch.column(4).to_numpy()}
+                q, s = lanes(batch.column(5).to_pylist(), places["q_hit"]), lanes(batch.column(6).to_pylist(), places["s_hit"])
+                left, right = al.gapped_hits(q, s, matrix, options.gap_open, options.gap_extend, cutoff, trace=True)
+                found = spans(left, right, places)
+                edits: dict[str, list] = {k: [] for k in ("length", "mismatches", "gap_opens", "gap_extends", "cigar")}
+                for i in range(batch.num_rows):
+                    script = al.merge(al.flip(left.scripts[i]), right.scripts[i])
+                    a = al.Alignment(*(int(found[k][i]) for k in ("score", "q_start", "q_end", "s_start", "s_end")), script)
+                    counts = al.edit_counts(q.codes[q.low[i] : q.high[i]], s.codes[s.low[i] : s.high[i]], a)
+                    for k, v in zip(edits, (*counts, "".join(f"{n}{'M' if op == al.SUBSTITUTION else op}" for op, n in script)), strict=True):
+                        edits[k].append(v)
+                yield pa.RecordBatch.from_pydict({"query_id": batch.column(0), "frame": batch.column(1), "seq_id": batch.column(2)} | found | {k: pa.array(v, pa.string() if k == "cigar" else pa.int32()) for k, v in edits.items()})
 
     return joined.select("query_id", "frame", "seq_id", "q_hit", "s_hit", "masked", "seq").mapInArrow(run, "query_id bigint, frame int, seq_id bigint, score int, q_start int, q_end int, s_start int, s_end int, length int, mismatches int, gap_opens int, gap_extends int, cigar string")

@@ -36,6 +36,15 @@ class SeedRules:
     def max_hash(self) -> int:
         return (1 << (self.bits * self.longest)) - 1
 
+    @property
+    def packed(self) -> bool:
+        """Whether a context fits a long, four bits a class; others are class strings."""
+        return self.context <= 15 and max(self.reduced.code_of.values()) < 16
+
+    @property
+    def ctx_type(self) -> str:
+        return "bigint" if self.packed else "string"
+
     @property
     def scores(self) -> np.ndarray:
         return self.matrix.class_scores(self.reduced)
@@ -84,6 +93,17 @@ def contexts(classes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return packed, inside
 
 
+def context_column(classes: np.ndarray, at: np.ndarray, rules: SeedRules) -> pa.Array:
+    """Contexts of some positions, null where they leave the sequence: packed, or as class strings where they do not fit."""
+    size, half = rules.context, rules.context // 2
+    inside = (at >= half) & (at - half + size <= len(classes))
+    if rules.packed:
+        return pa.array(contexts(classes, size)[0][at], pa.int64(), mask=~inside)
+    letters = np.frombuffer(codec.CLASS_LETTERS.encode(), np.uint8)[classes]
+    rows = letters[np.where(inside, at - half, 0)[:, None] + np.arange(size)].tobytes().decode() if inside.any() else ""
+    return pa.array([rows[i * size : (i + 1) * size] if x else None for i, x in enumerate(inside.tolist())], pa.string())
+
+
 def drop_nested(length: np.ndarray) -> np.ndarray:
     """Which seeds stay: one goes if the next position's seed ends no later."""
     stays = length > 0
@@ -102,10 +122,9 @@ def subject_seeds(sequences: DataFrame, rules: SeedRules | None = None) -> DataF
                 classes = rules.reduced.lookup[rules.reduced.alphabet.encode(seq or "")]
                 value, length = hash_all(classes, rules)
                 at = np.flatnonzero(drop_nested(length)) if len(length) else np.zeros(0, np.int64)
-                packed, inside = contexts(classes, rules.context)
-                yield pa.RecordBatch.from_pydict({"hash": value[at], "seq_id": np.full(len(at), seq_id, np.int64), "pos": (at + 1).astype(np.int32), "seed_len": length[at].astype(np.int32), "ctx": pa.array(packed[at], pa.int64(), mask=~inside[at])})
+                yield pa.RecordBatch.from_pydict({"hash": value[at], "seq_id": np.full(len(at), seq_id, np.int64), "pos": (at + 1).astype(np.int32), "seed_len": length[at].astype(np.int32), "ctx": context_column(classes, at, rules)})
 
-    return sequences.select(F.col("seq_id").cast("bigint"), "seq").mapInArrow(run, "hash bigint, seq_id bigint, pos int, seed_len int, ctx bigint")
+    return sequences.select(F.col("seq_id").cast("bigint"), "seq").mapInArrow(run, f"hash bigint, seq_id bigint, pos int, seed_len int, ctx {rules.ctx_type}")
 
 
 def query_seeds(frames: DataFrame, rules: SeedRules | None = None) -> DataFrame:
@@ -121,12 +140,11 @@ def query_seeds(frames: DataFrame, rules: SeedRules | None = None) -> DataFrame:
                 classes = rules.reduced.lookup[rules.reduced.alphabet.encode(seq)]
                 value, length = hash_all(classes, rules)
                 at = np.flatnonzero(length)
-                packed, _ = contexts(classes, rules.context)
                 half = rules.context // 2
                 checked = (at >= half) & (at < len(classes) - half)
-                yield pa.RecordBatch.from_pydict({"query_id": np.full(len(at), query_id, np.int64), "frame": np.full(len(at), frame, np.int32), "q_pos": (at + 1).astype(np.int32), "hash": value[at], "checked": checked, "q_ctx": packed[at]})
+                yield pa.RecordBatch.from_pydict({"query_id": np.full(len(at), query_id, np.int64), "frame": np.full(len(at), frame, np.int32), "q_pos": (at + 1).astype(np.int32), "hash": value[at], "checked": checked, "q_ctx": context_column(classes, at, rules)})
 
-    return frames.select(F.col("query_id").cast("bigint"), F.col("frame").cast("int"), "masked").mapInArrow(run, "query_id bigint, frame int, q_pos int, hash bigint, checked boolean, q_ctx bigint")
+    return frames.select(F.col("query_id").cast("bigint"), F.col("frame").cast("int"), "masked").mapInArrow(run, f"query_id bigint, frame int, q_pos int, hash bigint, checked boolean, q_ctx {rules.ctx_type}")
 
 
 # Native forms, for use inside other plans.

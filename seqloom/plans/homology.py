@@ -9,7 +9,7 @@ from seqloom import runtime
 from seqloom.functions import codec
 from seqloom.functions import statistics as st
 from seqloom.operators import ranking
-from seqloom.operators.search import SearchOptions, final_alignments, pair_hits, prepare, presearch, seed_hits
+from seqloom.operators.search import SearchOptions, final_alignments, prepare, presearch, seed_hits
 from seqloom.operators.seeds import query_seeds
 from seqloom.sources.database import Database
 
@@ -22,11 +22,12 @@ def search(db: Database, queries: DataFrame, dna: bool = False, options: SearchO
     coordinates 1-based and inclusive, on DNA in bases of the query (descending
     on the reverse strand). Null or empty sequences find nothing.
     """
-    options = options or SearchOptions()
     rules, settings = db.settings.rules, db.settings
+    options = options or SearchOptions(matrix=settings.matrix)
     frames = runtime.materialize(prepare(queries, dna, options))
-    hits = seed_hits(query_seeds(frames, rules), db.clustered, db.single, settings.hit_mismatches)
-    candidates = presearch(pair_hits(hits, frames, db.sequences), options)
+    wanted = runtime.materialize(query_seeds(frames, rules))
+    hits = seed_hits(wanted, db.clustered, db.single, settings.hit_mismatches, rules.packed)
+    candidates = presearch(hits, frames, db.sequences, options)
     chosen = runtime.materialize(ranking.top_k(ranking.cap_per_subject(candidates, options.per_subject), options.results).drop("rank"))
     found = final_alignments(chosen, frames, db.sequences, options)
     return report(found, frames, db, dna, options)

@@ -225,7 +225,8 @@ _SQL_RUN = f"{_sql_protein()}, run as (select doc_id, length(seq) as len, sum(le
 def chunk_assignment(spark, sf_dir):
     """Sequences and residues of each chunk of 65,536 residues."""
     s = subjects(spark, sf_dir)
-    return s.join(database.chunks(s, 65_536), "seq_id").groupBy("chunk_id").agg(F.count("*").alias("sequences"), F.sum(F.length("seq")).cast("bigint").alias("total_length"))
+    sizes = s.select("seq_id", F.length("seq").alias("n"))
+    return sizes.join(database.chunks(s, 65_536), "seq_id").groupBy("chunk_id").agg(F.count("*").alias("sequences"), F.sum("n").cast("bigint").alias("total_length"))
 
 
 @query(f"""with {_SQL_RUN}, probes as (select i as probe, (i * 9973) as place from range(200) t(i))
@@ -300,7 +301,7 @@ def one_mismatch_neighbours(spark, sf_dir):
 
 def _query_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = passages(spark, sf_dir).select("query_id", F.lit(0).alias("frame"), codec.normalize(F.col("seq")).alias("masked"))
-    return seeds.query_seeds(frames)
+    return runtime.materialize(seeds.query_seeds(frames))
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,8 +379,9 @@ select b.item_id, count(*) as held from many b where exists (select 1 from many
  (a.qs = b.qs and a.ss = b.ss) or (a.qe = b.qe and a.se = b.se) or (a.qs <= b.qs and a.qe >= b.qe and a.ss <= b.ss and a.se >= b.se))) group by b.item_id""")
 def containment_filter(spark, sf_dir):
     """Candidates that a better one of the same pair of sequences holds."""
-    w = Window.partitionBy("query_id", "seq_id").orderBy(*ranking.order())
-    many = _runs(spark, sf_dir).withColumn("r", F.row_number().over(w))
+    runs = _runs(spark, sf_dir)
+    w = Window.partitionBy("query_id", "seq_id").orderBy(*ranking.order(runs))
+    many = runs.withColumn("r", F.row_number().over(w))
     a, b = many.alias("a"), many.alias("b")
     same = (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.seq_id") == F.col("b.seq_id")) & (F.col("a.r") < F.col("b.r"))
     return b.join(a, same & ranking.contains("a", "b"), "left_semi").groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("held"))
@@ -461,17 +463,17 @@ def cluster_prune(spark, sf_dir):
 def ungapped_score(spark, sf_dir):
     """Ungapped X-drop scores of all near hits: count, sum and greatest a passage."""
     frames = search.prepare(passages(spark, sf_dir), False, search.SearchOptions(mask=False))
-    pairs = search.pair_hits(_diagonal_hits(spark, sf_dir), frames, subjects(spark, sf_dir))
-    return kernels.ungapped_scores(pairs).groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("hits"), F.sum("score").alias("score_sum"), F.max("score").alias("best"))
+    scores = kernels.ungapped_scores(_diagonal_hits(spark, sf_dir), runtime.materialize(frames), subjects(spark, sf_dir))
+    return scores.groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("hits"), F.sum("score").alias("score_sum"), F.max("score").alias("best"))
 
 
 @query()
 def gapped_align(spark, sf_dir):
     """Gapped candidates of all near hits before ranking: count, sum and greatest score a passage."""
     options = search.SearchOptions()
-    frames = search.prepare(passages(spark, sf_dir), False, options)
-    pairs = search.pair_hits(_diagonal_hits(spark, sf_dir), frames, subjects(spark, sf_dir))
-    return search.presearch(pairs, options).groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("candidates"), F.sum("score").alias("score_sum"), F.max("score").alias("best"))
+    frames = runtime.materialize(search.prepare(passages(spark, sf_dir), False, options))
+    found = search.presearch(_diagonal_hits(spark, sf_dir), frames, subjects(spark, sf_dir), options)
+    return found.groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("candidates"), F.sum("score").alias("score_sum"), F.max("score").alias("best"))
 
 
 def _report(found: DataFrame) -> DataFrame:

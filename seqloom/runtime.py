@@ -11,7 +11,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -79,6 +80,39 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Rows of one key that a task of a join takes.
+HOT_ROWS = 1 << 16
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows joined (inner or left) with keyed, a row a key, that says in `count` how many rows have the key.
+
+    Keys with more than hot_rows rows are few (at most rows / hot_rows): they are
+    written, so their size is known, and Spark sends them to the rows where it is
+    small; only the other rows are dealt out by key. rows should be a written
+    table: it is read twice where there are such keys.
+    """
+    hot = materialize(keyed.where(F.col(count) > hot_rows))
+    if hot.isEmpty():
+        return rows.join(keyed, on, how)
+    rest = rows.join(hot.select(*on), on, "left_anti").join(keyed.where(F.col(count) <= hot_rows), on, how)
+    return rest.unionByName(rows.join(hot, on))
+
+
+def running_sum(df: DataFrame, order: str, value: str, name: str, bytes_each: int = 32 << 20) -> DataFrame:
+    """order, value and name: the sum of value up to and with each row, by order.
+
+    Rows are dealt by range of `order` and summed up within a partition; the sums
+    of the partitions before are added (a row a partition).
+    """
+    rows = df.select(order, value).repartitionByRange(partitions_for(df, bytes_each), order)
+    rows = materialize(rows.withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("_part").agg(F.sum(value).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn(name, inside).join(base, "_part").select(order, value, (F.col(name) + F.col("_base")).alias(name))
+
+
 #: Spark's estimate for data of unknown size (not read from files) is beyond this.
 UNKNOWN_BYTES = 1 << 56
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.functions.alphabet import BLOSUM62, REDUCED_CLASSES, parse_reduced
+from seqloom import runtime
+from seqloom.functions.alphabet import BLOSUM62, PROTEIN, REDUCED_CLASSES, ScoreMatrix, parse_matrix, parse_reduced
 from seqloom.operators.clustering import cluster
 from seqloom.operators.seeds import CONTEXT, THRESHOLD, SeedRules, subject_seeds
 
@@ -26,10 +27,16 @@ class Settings:
     total_length: int = 0
     sequences: int = 0
     max_length: int = 0
+    matrix_name: str = BLOSUM62.name
+    matrix_text: str = ""  # in the form of a matrix file; empty: BLOSUM62
+
+    @property
+    def matrix(self) -> ScoreMatrix:
+        return parse_matrix(self.matrix_text, PROTEIN, self.matrix_name) if self.matrix_text else BLOSUM62
 
     @property
     def rules(self) -> SeedRules:
-        return SeedRules(parse_reduced(self.reduced), BLOSUM62, threshold=self.threshold, context=self.context)
+        return SeedRules(parse_reduced(self.reduced), self.matrix, threshold=self.threshold, context=self.context)
 
     @property
     def cluster_mismatches(self) -> int:
@@ -62,15 +69,15 @@ def chunks(sequences: DataFrame, size: int) -> DataFrame:
     By the running sum of lengths, so a chunk boundary needs no look-back: chunk =
     floor(residues up to and with this sequence, less one, / size).
     """
-    run = F.sum(F.length("seq")).over(Window.orderBy("seq_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return sequences.select("seq_id", F.floor((run - 1) / F.lit(size)).cast("int").alias("chunk_id"))
+    run = runtime.running_sum(sequences.select("seq_id", F.length("seq").cast("bigint").alias("n")), "seq_id", "n", "run")
+    return run.select("seq_id", F.floor((F.col("run") - 1) / F.lit(size)).cast("int").alias("chunk_id"))
 
 
-def build(sequences: DataFrame, reduced: str = REDUCED_CLASSES, threshold: int = THRESHOLD, context: int = CONTEXT, clustering: bool = True) -> Database:
-    """Seeds and clusters of a table of sequences (seq_id, name, seq)."""
+def build(sequences: DataFrame, reduced: str = REDUCED_CLASSES, threshold: int = THRESHOLD, context: int = CONTEXT, clustering: bool = True, matrix: ScoreMatrix = BLOSUM62) -> Database:
+    """Seeds and clusters of a table of sequences (seq_id, name, seq). Contexts may have any length, the reduced alphabet any number of classes."""
     row = statistics(sequences).first()
-    settings = Settings(reduced, threshold, context, clustering, row["total_length"], row["sequences"], row["max_length"])
-    seeds = subject_seeds(sequences, settings.rules)
+    settings = Settings(reduced, threshold, context, clustering, row["total_length"], row["sequences"], row["max_length"], matrix.name, "" if matrix is BLOSUM62 else matrix.text())
+    seeds = runtime.materialize(subject_seeds(sequences, settings.rules))  # the scan runs once, whatever reads it
     if clustering:
         clustered, single = cluster(seeds, settings.cluster_mismatches)
     else:

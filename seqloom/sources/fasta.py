@@ -15,14 +15,15 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     lines are trimmed at both ends and joined, blank lines skipped, letters in
     upper case. A record is a line of the text source whose separator is `\\n>`,
     so files are split between tasks at record starts and nothing is shuffled.
-    seq_id rises with the order of files and records; it has gaps between tasks.
+    seq_id rises with the order of file paths and of records in a file: the number
+    of the split (part of a file) from bit 33 on, the record's number in it below.
     """
     source = spark.read.option("lineSep", "\n>").text(path)
     raw = source.select(F.monotonically_increasing_id().alias("seq_id"), F.regexp_replace("value", "\r\n", "\n").alias("r"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    # A file's first record still has its mark; without one it is what comes before the first record. A row a file.
-    first = raw.where("block = 0").groupBy("file").agg(F.min("seq_id").alias("head"))
-    marked = raw.join(first.select(F.col("head").alias("seq_id"), F.lit(True).alias("head")), "seq_id", "left")
-    rows = marked.where("head is null or r like '>%'")
+    # A split's rows are numbered one after another by the task that reads it. A row a split.
+    splits = raw.groupBy("file", "block").agg(F.min("seq_id").alias("low")).withColumn("split", F.row_number().over(Window.orderBy("file", "block")).cast("bigint") - 1)
+    # A file's first record still has its mark; without one it is what comes before the first record.
+    rows = raw.join(splits, ["file", "block"]).where("block > 0 or seq_id > low or r like '>%'").withColumn("seq_id", F.shiftleft("split", 33) + F.col("seq_id") - F.col("low"))
     header = F.regexp_replace(F.regexp_replace(F.substring_index("r", "\n", 1), r"\r$", ""), r"^[> ]+", "")
     lines = F.slice(F.split("r", "\n"), 2, F.greatest(F.size(F.split("r", "\n")) - 1, F.lit(0)))
     seq = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), "")

@@ -98,3 +98,39 @@ def test_cap_with_containment(spark):
 def test_chunks(spark):
     s = spark.createDataFrame([(i, "A" * n) for i, n in enumerate([25, 25, 25, 10])], "seq_id bigint, seq string")
     assert [r["chunk_id"] for r in database.chunks(s, 50).orderBy("seq_id").collect()] == [0, 0, 1, 1]
+
+
+def test_order_of_several_files(spark, tmp_path):
+    r = random.Random(5)
+    names = []
+    for f in range(6):  # the first file in order of paths is the smallest
+        records = [(f"f{f}r{i}", "".join(r.choice("ACDEFGHIKL") for _ in range(40))) for i in range(1 + 300 * f)]
+        (tmp_path / f"part{f}.fa").write_text("junk\n" * (f % 2) + "".join(f">{n}\n{s}\n" for n, s in records))
+        names += [n for n, _ in records]
+    got = fasta.read_fasta(spark, str(tmp_path))
+    assert [x["name"] for x in got.orderBy("seq_id").collect()] == names
+    dense = fasta.with_dense_ids(got).orderBy("seq_id").collect()
+    assert [(x["seq_id"], x["name"]) for x in dense] == list(enumerate(names))
+
+
+def test_low_complexity_database(spark):
+    rows = [(i, f"s{i}", "A" * 400) for i in range(40)] + [(100, "other", SUBJECTS[0] * 3)]
+    db = database.build(spark.createDataFrame(rows, "seq_id bigint, name string, seq string"))
+    queries = spark.createDataFrame([(0, "q", SUBJECTS[0] * 2), (1, "poly", "A" * 60)], "query_id bigint, name string, seq string")
+    assert {x["subject"] for x in homology.search(db, queries).collect()} == {"other"}
+    unmasked = homology.search(db, queries, options=SearchOptions(mask=False, results=50)).where("query_id = 1").collect()
+    assert len(unmasked) == 40 and {x["length"] for x in unmasked} == {60}
+
+
+def test_hot_subjects_and_blocks_of_queries_change_nothing(spark, monkeypatch):
+    from seqloom.operators import search
+
+    r = random.Random(9)
+    base = ["".join(r.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(200)) for _ in range(5)]
+    db = database.build(spark.createDataFrame([(i, f"s{i}", s + base[0]) for i, s in enumerate(base)], "seq_id bigint, name string, seq string"))
+    queries = spark.createDataFrame([(i, f"q{i}", s[20:150]) for i, s in enumerate(base)], "query_id bigint, name string, seq string")
+    want = sorted(map(tuple, homology.search(db, queries).collect()))
+    monkeypatch.setattr(search, "SUBJECT_HITS", 50)
+    monkeypatch.setattr(search, "FRAME_BYTES", 300)
+    monkeypatch.setattr(search, "BLOCK_HITS", 40)
+    assert sorted(map(tuple, homology.search(db, queries).collect())) == want and len(want) >= 9

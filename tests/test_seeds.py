@@ -1,8 +1,11 @@
+import random
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import codec
-from seqloom.functions.alphabet import PROTEIN, REDUCED
+from seqloom.functions.alphabet import PROTEIN, REDUCED, parse_reduced
 from seqloom.operators import clustering, kernels, seeds
 
 
@@ -114,3 +117,73 @@ def test_locate_and_adjacent(spark):
     assert sorted((x["place"], x["seq_id"], x["offset"]) for x in kernels.locate(places, s, block=2).collect()) == [(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 2, 0), (4, 2, 1), (5, 2, 2), (6, 2, 3), (7, 2, 4)]
     hits = spark.createDataFrame([(1, 0, 1, q, q + 3) for q in (1, 2, 5)] + [(1, 0, 1, 2, 9)], "query_id int, frame int, seq_id int, q_pos int, s_pos int")
     assert sorted((x["q_pos"], x["s_pos"]) for x in kernels.adjacent_filter(hits).collect()) == [(1, 4), (2, 9), (5, 8)]
+
+
+WIDE = "A R N D C Q E G H I L K M F P S T W Y V"
+
+
+@pytest.mark.parametrize("reduced", [seeds.REDUCED, parse_reduced(WIDE)], ids=["10 classes", "25 classes"])
+@pytest.mark.parametrize("size", [10, 15, 16, 20])
+def test_contexts_of_any_length_and_alphabet(spark, reduced, size):
+    rules = seeds.SeedRules(reduced, context=size)
+    r = random.Random(size)
+    head = "".join(r.choice(PROTEIN.regular) for _ in range(30))
+    texts = [head, "W" + head[1:], head[:12] + "YY" + head[14:], head[::-1]]
+    codes = [[reduced.code_of[c] for c in t] for t in texts]
+    at = np.arange(30)
+    got = [seeds.context_column(np.array(c, np.uint8), at, rules).to_pylist() for c in codes]
+    df = spark.createDataFrame([(p, i, j, got[i][p], got[j][p]) for p in range(30) for i in range(4) for j in range(i)], f"p int, i int, j int, a {rules.ctx_type}, b {rules.ctx_type}")
+    half = size // 2
+    for x in df.withColumn("d", codec.context_distance(F.col("a"), F.col("b"), rules.packed)).collect():
+        p = x["p"]
+        inside = half <= p <= 30 - size + half
+        assert (x["a"] is not None) == inside
+        if inside:
+            assert x["d"] == sum(u != v for u, v in zip(codes[x["i"]][p - half : p - half + size], codes[x["j"]][p - half : p - half + size], strict=True))
+
+
+@pytest.mark.parametrize(("reduced", "context"), [(None, 20), (WIDE, 10), (WIDE, 17)])
+def test_database_with_other_rules(spark, reduced, context):
+    from seqloom.plans import homology
+    from seqloom.sources import database
+
+    r = random.Random(3)
+    base = ["".join(r.choice(PROTEIN.regular) for _ in range(150)) for _ in range(5)]
+    rows = [(2 * i + k, f"s{i}", s) for i, s in enumerate(base) for k in range(2)]
+    table = spark.createDataFrame(rows, "seq_id bigint, name string, seq string")
+    queries = spark.createDataFrame([(i, f"q{i}", s[10:120]) for i, s in enumerate(base)], "query_id bigint, name string, seq string")
+    found = []
+    for clustering in (True, False):
+        db = database.build(table, reduced or database.REDUCED_CLASSES, context=context, clustering=clustering)
+        assert (db.clustered.count() > 0) == clustering
+        found.append(sorted((x["query"], x["subject"], x["score"]) for x in homology.search(db, queries).collect()))
+    assert found[0] == found[1] and len(found[0]) == 10
+
+
+def test_leaders_of_matrices_and_packed_numbers():
+    from seqloom.operators.clustering import leaders
+
+    r = np.random.default_rng(2)
+    c = r.integers(0, 3, (200, 6)).astype(np.uint8)
+    packed = np.array([int("".join(f"{x:x}" for x in row), 16) for row in c])
+    plain, free = [-1] * 200, list(range(200))
+    while free:
+        near = [i for i in free if (c[i] != c[free[0]]).sum() <= 1]
+        for i in near:
+            plain[i] = free[0]
+        free = [i for i in free if i not in near]
+    assert leaders(c, 1).tolist() == plain == leaders(packed, 1).tolist()
+
+
+def test_running_sum_and_hot_join(spark):
+    from seqloom import runtime
+
+    df = spark.createDataFrame([(i, i % 5) for i in range(100)], "o bigint, v bigint")
+    got = runtime.running_sum(df.repartition(7), "o", "v", "s", bytes_each=200).orderBy("o").collect()
+    assert [x["s"] for x in got] == np.cumsum([i % 5 for i in range(100)]).tolist()
+    rows = runtime.materialize(spark.createDataFrame([(i % 3 if i < 90 else i, i) for i in range(100)], "k int, x int"))
+    keyed = rows.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        some = keyed.where("k < 97")
+        a = runtime.join_hot(rows, some, ["k"], "n", how, hot_rows=20)
+        assert sorted(map(str, a.collect())) == sorted(map(str, rows.join(some, "k", how).collect()))
