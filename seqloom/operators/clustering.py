@@ -43,8 +43,11 @@ def cluster(seeds: DataFrame, most: int = 1) -> tuple[DataFrame, DataFrame]:
     """
     spark = seeds.sparkSession
     runtime.ship(spark)
-    first = F.min(F.struct("seq_id", "pos")).alias("first")
-    distinct = seeds.where("ctx is not null").groupBy("hash", "ctx").agg(first, F.count("*").alias("n")).select("hash", "ctx", "first.seq_id", "first.pos", "n")
+    # (seq_id, pos) as one number: a hash aggregation takes its least, where a struct would need a sort.
+    place = F.col("seq_id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
+    distinct = seeds.where("ctx is not null").groupBy("hash", "ctx").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    pos = F.expr(f"pmod(first, cast({1 << 31} as decimal(10,0)))")
+    distinct = distinct.withColumn("pos", pos.cast("int")).select("hash", "ctx", F.expr(f"(first - pos) div cast({1 << 31} as decimal(10,0))").alias("seq_id"), "pos", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

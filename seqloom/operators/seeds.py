@@ -73,10 +73,9 @@ def hash_all(classes: np.ndarray, rules: SeedRules) -> tuple[np.ndarray, np.ndar
         open_ &= valid
         if k >= rules.shortest:
             open_ &= score < rules.threshold
-        take = open_
-        value[take] = (value[take] << rules.bits) + c[take] + 1
-        score[take] += scores[c[take]]
-        length[take] = k + 1
+        value = np.where(open_, (value << rules.bits) + c + 1, value)
+        score += np.where(open_, scores[c], 0)
+        length[open_] = k + 1
     return np.where(good, value, 0), np.where(good, length, 0)
 
 
@@ -93,13 +92,13 @@ def contexts(classes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return packed, inside
 
 
-def context_column(classes: np.ndarray, at: np.ndarray, rules: SeedRules) -> pa.Array:
-    """Contexts of some positions, null where they leave the sequence: packed, or as class strings where they do not fit."""
+def context_column(classes: np.ndarray, at: np.ndarray, rules: SeedRules, low: np.ndarray | int = 0, high: np.ndarray | int | None = None) -> pa.Array:
+    """Contexts of some positions, null where they leave their sequence [low, high): packed, or as class strings where they do not fit."""
     size, half = rules.context, rules.context // 2
-    inside = (at >= half) & (at - half + size <= len(classes))
+    inside = (at - half >= low) & (at - half + size <= (len(classes) if high is None else high))
     if rules.packed:
         return pa.array(contexts(classes, size)[0][at], pa.int64(), mask=~inside)
-    letters = np.frombuffer(codec.CLASS_LETTERS.encode(), np.uint8)[classes]
+    letters = np.frombuffer(codec.CLASS_LETTERS.encode(), np.uint8)[np.minimum(classes, len(codec.CLASS_LETTERS) - 1)]
     rows = letters[np.where(inside, at - half, 0)[:, None] + np.arange(size)].tobytes().decode() if inside.any() else ""
     return pa.array([rows[i * size : (i + 1) * size] if x else None for i, x in enumerate(inside.tolist())], pa.string())
 
@@ -117,14 +116,30 @@ def subject_seeds(sequences: DataFrame, rules: SeedRules | None = None) -> DataF
     runtime.ship(sequences.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gap = np.array([255], np.uint8)  # no class: seeds end there
+
+        def solve(ids: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+            classes = np.concatenate([x for one in held for x in (one, gap)])
+            high = np.cumsum([len(x) + 1 for x in held]) - 1
+            low = high - [len(x) for x in held]
+            value, length = hash_all(classes, rules)
+            at = np.flatnonzero(drop_nested(length))
+            owner = np.searchsorted(high, at, side="right")
+            return pa.RecordBatch.from_pydict({"hash": value[at], "seq_id": np.array(ids, np.int64)[owner], "pos": (at - low[owner] + 1).astype(np.int32), "seed_len": length[at].astype(np.int32), "ctx": context_column(classes, at, rules, low[owner], high[owner])})
+
         for batch in batches:
+            ids, held, size = [], [], 0
             for seq_id, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                classes = rules.reduced.lookup[rules.reduced.alphabet.encode(seq or "")]
-                value, length = hash_all(classes, rules)
-                at = np.flatnonzero(drop_nested(length)) if len(length) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_pydict({"hash": value[at], "seq_id": np.full(len(at), seq_id, np.int64), "pos": (at + 1).astype(np.int32), "seed_len": length[at].astype(np.int32), "ctx": context_column(classes, at, rules)})
-
-    return sequences.select(F.col("seq_id").cast("bigint"), "seq").mapInArrow(run, f"hash bigint, seq_id bigint, pos int, seed_len int, ctx {rules.ctx_type}")
+                ids.append(seq_id)
+                held.append(rules.reduced.lookup[rules.reduced.alphabet.encode(seq or "")])
+                size += len(held[-1])
+                if size >= 1 << 18:
+                    yield solve(ids, held)
+                    ids, held, size = [], [], 0
+            if ids:
+                yield solve(ids, held)
+
+    return runtime.widen(sequences.select(F.col("seq_id").cast("bigint"), "seq")).mapInArrow(run, f"hash bigint, seq_id bigint, pos int, seed_len int, ctx {rules.ctx_type}")
 
 
 def query_seeds(frames: DataFrame, rules: SeedRules | None = None) -> DataFrame:

@@ -125,6 +125,11 @@ def partitions_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 1) ->
     return max(least, math.ceil(size / bytes_each))
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """df as it is, or dealt out evenly where it has fewer partitions than there are cores (a small file of one row group, say)."""
+    return spread(df) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out evenly, for kernels whose work is large against the bytes that they read."""
     spark = df.sparkSession
