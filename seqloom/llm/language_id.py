@@ -1,25 +1,26 @@
 """Language identification by partial matching (operator 9).
 
-Each language has a context tree of bytes up to `order` long with symbol counts.
+Each language has a context tree of bytes up to three long with symbol counts.
 A byte costs -log2 p under the longest context of the tree that stands before
 it: count / (total + distinct) if the context has seen the byte, otherwise an
 escape, distinct / (total + distinct), and the cost under the next shorter
 context, down to all bytes alike. Counts are frozen after learning, so the cost
-of a byte depends on (context, byte) alone: costs of all languages are laid out
-as dense tables over the union of their contexts, and a text's exact code length
-is a sum of table entries.
+of a byte depends on (context, byte) alone. Every context and byte of the
+learning texts is kept, in sorted sparse tables: a byte with its three bytes of
+context is one number, looked up in the table of the longest context and, with
+the escape's cost, in that of the next shorter one. Distinct numbers of a chunk
+of texts are looked up once; a text's exact code length is the sum over its bytes.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom import runtime
@@ -40,110 +41,125 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+class Tree:
+    """Costs in bits of one language's context tree.
+
+    fours and threes: a byte with three and with two bytes of context, ascending,
+    and their costs. triples: contexts of three bytes with the cost of their
+    escape. pairs: that of each context of two bytes (0 where it was never seen).
+    one: costs of (byte before, byte).
+    """
+
+    def __init__(self, grams: np.ndarray):
+        byte = np.bincount(grams & np.uint32(0xFF), minlength=256)
+        last = np.bincount(grams & np.uint32(0xFFFF), minlength=1 << 16).reshape(256, 256)
+        one = self._blend(last, self._blend(byte[None], np.full((1, 256), 1 / 256)))
+        self.one = -np.log2(one).ravel().astype(np.float32)
+        self.threes, costs, contexts, escapes = self._level(grams & np.uint32(0xFFFFFF))
+        self.three_cost = costs
+        self.pairs = np.zeros(1 << 16, np.float32)
+        self.pairs[contexts] = escapes
+        self.seen = contexts
+        self.fours, self.four_cost, self.triples, self.triple_escape = self._level(grams)
+
+    @staticmethod
+    def _blend(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        total, distinct = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
+        whole = np.maximum(total + distinct, 1)
+        return np.where(total == 0, shorter, np.where(counts > 0, counts / whole, distinct / whole * shorter))
+
+    @staticmethod
+    def _level(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct grams, their costs, contexts, costs of their escapes)."""
+        values, counts = np.unique(grams, return_counts=True)
+        contexts, at, distinct = np.unique(values >> np.uint32(8), return_inverse=True, return_counts=True)
+        total = np.bincount(at, weights=counts, minlength=len(contexts)) + distinct
+        return values, -np.log2(counts / total[at]).astype(np.float32), contexts, -np.log2(distinct / total).astype(np.float32)
+
+    def cost(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of each number's last byte after its first three."""
+        out, known = self._find(self.fours, self.four_cost, grams)
+        rest = np.flatnonzero(~known)
+        g = grams[rest]
+        escape, _ = self._find(self.triples, self.triple_escape, g >> np.uint32(8))
+        g = g & np.uint32(0xFFFFFF)
+        bits, known = self._find(self.threes, self.three_cost, g)
+        shorter = self.pairs[g >> np.uint32(8)] + self.one[g & np.uint32(0xFFFF)]
+        out[rest] = escape + np.where(known, bits, shorter)
+        return out
+
+    @staticmethod
+    def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value or 0, found) of each wanted key."""
+        if not len(keys):
+            return np.zeros(len(wanted), np.float32), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        found = keys[at] == wanted
+        return np.where(found, values[at], np.float32(0)), found
+
+
 class Model:
-    """Cost tables. cost[language] is flat over (state, byte); states are contexts of 0 to 3 bytes."""
+    """The trees of the learned languages."""
 
     ORDER = 3
 
-    def __init__(self, languages: list[str], pairs: np.ndarray, triples: np.ndarray, cost: np.ndarray):
-        self.languages, self.pairs, self.triples, self.cost = languages, pairs, triples, cost
-        self.id = uuid.uuid4().hex
+    def __init__(self, languages: list[str], trees: list[Tree]):
+        self.languages, self.trees = languages, trees
 
     @classmethod
-    def learn(cls, texts: dict[str, list[bytes]], max_contexts: int = 8000, least: int = 2) -> Model:
-        """texts by language. A context of two or three bytes is kept if it occurs `least` times in some language, the most frequent first."""
+    def learn(cls, texts: dict[str, list[bytes]]) -> Model:
+        """texts by language; all their contexts are kept."""
         languages = sorted(texts)
-        grams = {x: cls._grams(texts[x]) for x in languages}
-        seen2 = [np.unique(g >> np.uint32(8) & np.uint32(0xFFFF), return_counts=True) for g in grams.values()]
-        seen3 = [np.unique(g >> np.uint32(8), return_counts=True) for g in grams.values()]
-        pairs, triples = cls._frequent(seen2, max_contexts, least), cls._frequent(seen3, max_contexts, least)
-        triples = triples[np.isin(triples & np.uint32(0xFFFF), pairs)]
-        n2, n3 = len(pairs), len(triples)
-        cost = np.empty((len(languages), 1 + 256 + n2 + n3, 256), np.float32)
-        for i, x in enumerate(languages):
-            g = grams[x]
-            byte = (g & np.uint32(0xFF)).astype(np.int64)
-            p0 = cls._escape(np.bincount(byte, minlength=256)[None], np.full((1, 256), 1 / 256))
-            one = (g >> np.uint32(8) & np.uint32(0xFF)).astype(np.int64)
-            p1 = cls._escape(np.bincount(one * 256 + byte, minlength=1 << 16).reshape(256, 256), np.broadcast_to(p0, (256, 256)))
-            p2 = cls._escape(cls._count(pairs, g >> np.uint32(8) & np.uint32(0xFFFF), byte), p1[(pairs & np.uint32(0xFF)).astype(np.int64)])
-            p3 = cls._escape(cls._count(triples, g >> np.uint32(8), byte), p2[np.searchsorted(pairs, triples & np.uint32(0xFFFF))])
-            cost[i] = -np.log2(np.concatenate([p0, p1, p2, p3]))
-        return cls(languages, pairs, triples, cost.reshape(len(languages), cost.shape[1] * 256))
+        return cls(languages, [Tree(cls.grams(np.frombuffer(b"".join(texts[x]), np.uint8), np.array([len(t) for t in texts[x]], np.int64))) for x in languages])
 
     @classmethod
-    def _grams(cls, texts: list[bytes]) -> np.ndarray:
-        """For each byte of the texts: three bytes of context and the byte, as one number."""
-        pad = bytes([PAD]) * cls.ORDER
-        out = [np.zeros(0, np.uint32)]
-        for t in texts:
-            b = np.frombuffer(pad + t, np.uint8).astype(np.uint32)
-            out.append(b[:-3] << np.uint32(24) | b[1:-2] << np.uint32(16) | b[2:-1] << np.uint32(8) | b[3:])
-        return np.concatenate(out)
+    def grams(cls, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For each byte of texts that lie one after another: three bytes of context (PAD before a text) and the byte, as one number."""
+        full = lengths[lengths > 0]
+        starts = np.cumsum(full) - full
+        wide = data.astype(np.uint32)
+        out = wide.copy()
+        for k in range(1, cls.ORDER + 1):
+            before = np.empty_like(wide)
+            before[k:], before[:k] = wide[:-k], PAD
+            for i in range(k):  # a text's first bytes have no others before them
+                before[(starts + i)[full > i]] = PAD
+            out |= before << np.uint32(8 * k)
+        return out
 
-    @staticmethod
-    def _frequent(seen: list, most: int, least: int) -> np.ndarray:
-        if not seen:
-            return np.zeros(0, np.uint32)
-        best: dict[int, int] = {}
-        for values, counts in seen:
-            for v, c in zip(values.tolist(), counts.tolist(), strict=True):
-                if c >= least and c > best.get(v, 0):
-                    best[v] = c
-        chosen = sorted(best, key=lambda v: (-best[v], v))[:most]
-        return np.array(sorted(chosen), np.uint32)
+    @property
+    def pairs(self) -> np.ndarray:
+        """Contexts of two bytes of any language."""
+        return np.unique(np.concatenate([np.zeros(0, np.uint32), *(t.seen for t in self.trees)]))
 
-    @staticmethod
-    def _count(contexts: np.ndarray, of: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        if not len(contexts):
-            return np.zeros((0, 256), np.int64)
-        at = np.minimum(np.searchsorted(contexts, of), len(contexts) - 1)
-        known = contexts[at] == of
-        return np.bincount(at[known] * 256 + byte[known], minlength=len(contexts) * 256).reshape(-1, 256)
+    @property
+    def triples(self) -> np.ndarray:
+        """Contexts of three bytes of any language."""
+        return np.unique(np.concatenate([np.zeros(0, np.uint32), *(t.triples for t in self.trees)]))
 
-    @staticmethod
-    def _escape(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        total, distinct = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-        whole = np.maximum(total + distinct, 1)
-        return np.where(total == 0, shorter, np.where(counts > 0, counts / whole, distinct / whole * shorter))
+    @property
+    def cost(self) -> np.ndarray:
+        """(language, context, byte) costs laid out in full, for inspection of small models."""
+        contexts = np.concatenate([np.arange(256, dtype=np.uint32), self.pairs, self.triples])
+        grams = (contexts[:, None] << np.uint32(8) | np.arange(256, dtype=np.uint32)).ravel()
+        return np.stack([t.cost(grams) for t in self.trees])
 
-    def states(self) -> np.ndarray:
-        """State of each three bytes of context."""
-        two = np.tile(np.arange(1, 257, dtype=np.uint16), 256)
-        two[self.pairs] = 257 + np.arange(len(self.pairs), dtype=np.uint16)
-        three = np.tile(two, 256)
-        three[self.triples] = 257 + len(self.pairs) + np.arange(len(self.triples), dtype=np.uint16)
-        return three
+    def states(self) -> list[Tree]:
+        return self.trees
 
-    def bits(self, data: np.ndarray, lengths: np.ndarray, states: np.ndarray) -> np.ndarray:
+    def bits(self, data: np.ndarray, lengths: np.ndarray, trees: list[Tree]) -> np.ndarray:
         """(texts, languages) code lengths in bits of texts that lie one after another in data."""
-        out = np.zeros((len(lengths), len(self.languages)))
+        out = np.zeros((len(lengths), len(trees)))
         full = np.flatnonzero(lengths)
         if not len(full):
             return out
-        n = lengths[full]
-        starts = np.cumsum(n) - n
-        at = np.arange(len(data)) + np.repeat(np.arange(1, len(full) + 1) * self.ORDER, n)
-        padded = np.full(len(data) + self.ORDER * len(full), PAD, np.uint8)
-        padded[at] = data
-        wide = padded.astype(np.int32)
-        context = wide[at - 3] << 16 | wide[at - 2] << 8 | wide[at - 1]
-        cell = states[context].astype(np.int32) << 8 | data
-        for i, table in enumerate(self.cost):
-            out[full, i] = np.add.reduceat(table[cell], starts, dtype=np.float64)
+        starts = np.cumsum(lengths[full]) - lengths[full]
+        distinct, at = np.unique(self.grams(data, lengths), return_inverse=True)
+        for i, tree in enumerate(trees):
+            out[full, i] = np.add.reduceat(tree.cost(distinct)[at], starts, dtype=np.float64)
         return out
 
 
-_states: dict[str, np.ndarray] = {}
-
-
-def states_of(model: Model) -> np.ndarray:
-    if model.id not in _states:
-        _states.clear()
-        _states[model.id] = model.states()
-    return _states[model.id]
-
-
 def posterior(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(best column, its share of probability) for code lengths."""
     best = bits.argmin(axis=1)
@@ -151,20 +167,46 @@ def posterior(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, 1 / np.exp2(-gap).sum(axis=1)
 
 
-def learn(docs: DataFrame, per_language: int = 200) -> Model:
+def learn(docs: DataFrame, per_language: int = 200, most_documents: int = 20_000, most_bytes: int = 64 << 20) -> Model:
     """A model from up to `per_language` whole documents of each language: those of the least hash of doc_id.
 
-    Only documents that are not held out and have a text and a lang count. That
-    bound fixes the sample that comes to the driver: per_language texts a language.
+    Only documents that are not held out and have a text and a lang count; of
+    several texts of a doc_id in a language, that of the least hash. The sample
+    comes to the driver, which bounds it: at most most_documents over all languages
+    (one each at least) and most_bytes, an equal share for each language; documents
+    that no longer fit a share are passed over, and a language none of whose
+    documents fit has its shortest. These three parameters are all that limits the fit.
     """
-    usable = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.distinct().withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id", "lang")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text").where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").collect()
-    texts: dict[str, list[bytes]] = {}
-    for r in rows:
-        texts.setdefault(r["lang"], []).append(r["text"].encode())
-    return Model.learn(texts)
+    spark = docs.sparkSession
+    usable = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
+    usable = usable.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("mark"), F.octet_length("text").alias("size"))
+    rows = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    k = max(1, min(per_language, most_documents // max(1, len(rows))))
+    # The k least hashes lie below a bound: rows above it stay where they are. Repeated ids can leave too few; then the bound is raised.
+    chosen: dict[str, list] = {}
+    share = {x: min(1.0, 4 * k / n) for x, n in rows.items()}
+    while share:
+        bounds = spark.createDataFrame([(x, -(1 << 63) + min(int(f * (1 << 64)), (1 << 64) - 1)) for x, f in share.items()], "lang string, bound bigint")
+        near = usable.join(F.broadcast(bounds), "lang").where("h <= bound").groupBy("lang", "doc_id", "h").agg(F.min("mark").alias("mark"), F.min_by("size", "mark").alias("size"))
+        found: dict[str, list] = {x: [] for x in share}
+        for r in near.collect():
+            found[r["lang"]].append((r["h"], r["doc_id"], r["mark"], r["size"]))
+        chosen |= {x: sorted(v)[:k] for x, v in found.items() if len(v) >= k or share[x] == 1}
+        share = {x: min(1.0, 8 * f) for x, f in share.items() if x not in chosen}
+    picked = []
+    for x, some in chosen.items():
+        room, fits = most_bytes // len(chosen), []
+        for _, i, mark, size in some:
+            if size <= room:
+                fits.append((i, x, mark))
+                room -= size
+        picked += fits or [(i, x, mark) for _, i, mark, _ in sorted(some, key=lambda v: v[3])[:1]]
+    wanted = spark.createDataFrame(picked, "doc_id bigint, lang string, mark bigint")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.xxhash64("text").alias("mark"), "text").join(F.broadcast(wanted), ["doc_id", "lang", "mark"])
+    out: dict[str, list[bytes]] = {}
+    for r in texts.dropDuplicates(["doc_id", "lang", "mark"]).select("lang", "text").collect():
+        out.setdefault(r["lang"], []).append(r["text"].encode())
+    return Model.learn(out)
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -192,7 +234,6 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def _judged(m: Model, texts: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
     """(first row, end row, languages, scores, bits beyond 8 a byte under the best language) of a column of texts, some megabytes at a time."""
-    states = states_of(m) if m.languages else None
     array = pc.fill_null(texts, "")
     sizes = np.asarray(pc.binary_length(array)).astype(np.int64)
     ends, start = np.cumsum(sizes), 0
@@ -208,7 +249,7 @@ def _judged(m: Model, texts: pa.Array) -> Iterator[tuple[int, int, list[str], np
         for i in np.flatnonzero(~has & (n > 0)):  # no ASCII letter
             has[i] = LETTER.search(part[int(i)].as_py()) is not None
         if m.languages:
-            bits = m.bits(data, n, states)
+            bits = m.bits(data, n, m.states())
             best, score = posterior(bits)
             yield start, end, [m.languages[b] if h else UNDETERMINED for b, h in zip(best, has, strict=True)], np.where(has, score, 0.0), bits.min(axis=1) - 8 * n
         else:
