@@ -262,11 +262,12 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     of 8 bits each describe better than the best language, by more than RIVAL_BITS. One pass, no shuffle.
 
     Where nothing can be learned (no labelled language), only texts without a letter go.
+    Null texts go; repeated rows go or stay alike; other columns pass through.
     """
     spark = docs.sparkSession
     runtime.ship(spark)
     shared = spark.sparkContext.broadcast(learn(docs))
-    at = docs.columns.index("text")
+    at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -30,19 +30,16 @@ from seqloom.llm.texts import chunks
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
-MOST_FEATURES = 1024
 FOLDS = 5
-#: Features are hashed to so many places, which bounds every table of them.
-PLACES = 1 << 22
-#: Distinct words that a worker remembers.
-CACHE_WORDS = 300_000
+#: Distinct words, and characters of them, that a worker remembers.
+CACHE_WORDS, CACHE_CHARS = 300_000, 8_000_000
 SHAPES = ("letters", "digits", "capitals", "spaces", "marks", "repeats")
 
 
 def word_features(word: str) -> list[int]:
-    """Hashed places of the word and its prefixes."""
+    """63-bit hashes of the word and its prefixes."""
     parts = [f"w {word}"] + [f"{k} {word[:k]}" for k in PREFIXES if len(word) >= k]
-    return [xxhash.xxh32_intdigest(p) % PLACES for p in parts]
+    return [xxhash.xxh3_64_intdigest(p) >> 1 for p in parts]
 
 
 _ASCII = {name: bytes(sorted(chars)) for name, chars in {"digits": b"0123456789", "capitals": bytes(range(65, 91)), "spaces": b" \t\n\r\f\v", "letters": bytes([*range(65, 91), *range(97, 123), *range(128, 256)])}.items()}
@@ -106,22 +103,23 @@ class Chain:
     thresholds: list[float] = field(default_factory=list)
 
     @classmethod
-    def fit(cls, flat: np.ndarray, sizes: np.ndarray, shape: np.ndarray, labels: np.ndarray, categories: list[str]) -> Chain:
-        """flat: feature places, document after document, `sizes` each; shape: a row a document; labels: a 0/1 column a category. No rows: a chain that finds nothing."""
+    def fit(cls, flat: np.ndarray, sizes: np.ndarray, shape: np.ndarray, labels: np.ndarray, categories: list[str], features: int = 1024) -> Chain:
+        """flat: feature hashes, document after document, `sizes` each; shape: a row a document; labels: a 0/1 column a category; features: so many words and prefixes at most. No rows: a chain that finds nothing."""
         chain = cls(list(categories))
         rows = len(sizes)
         if not rows:
             return chain
         at = np.repeat(np.arange(rows, dtype=np.int32), sizes)
-        chosen = _select(flat, at, labels)
-        chain.features = {int(h): i for i, h in enumerate(chosen)}
-        column = np.full(PLACES, -1, np.int32)
+        values, place = np.unique(flat, return_inverse=True)
+        chosen = _select(place, at, labels, len(values), features)
+        chain.features = {int(values[p]): i for i, p in enumerate(chosen)}
+        column = np.full(len(values), -1, np.int32)
         column[chosen] = np.arange(len(chosen), dtype=np.int32)
-        c = column[flat]
+        c = column[place]
         x = np.zeros((rows, len(chosen) + len(SHAPES)), np.float32)
         x[at[c >= 0], c[c >= 0]] = 1
         x[:, len(chosen) :] = shape
-        del at, c, column
+        del at, c, column, place
         fold = np.arange(rows) % FOLDS
         for k in range(len(categories)):
             y = labels[:, k].astype(float)
@@ -146,24 +144,23 @@ class Chain:
         return out
 
 
-def _select(flat: np.ndarray, at: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """The strongest features, of those whose likelihood-ratio statistic with a category is hardly met by chance among so many (twice the log of their number)."""
-    n, df = len(labels), np.bincount(flat, minlength=PLACES)
-    number = max(2, int(np.count_nonzero(df)))
+def _select(flat: np.ndarray, at: np.ndarray, labels: np.ndarray, number: int, most: int) -> np.ndarray:
+    """The `most` strongest of `number` features, of those whose likelihood-ratio statistic with a category is hardly met by chance among so many (twice the log of their number)."""
+    n, df, number = len(labels), np.bincount(flat, minlength=number), max(2, number)
     often = np.flatnonzero(df >= 2)
     total, best = df[often].astype(float), np.zeros(len(often))
     for y in labels.T:
         pos = y.sum()
         if pos in (0, n):
             continue
-        both = np.bincount(flat[y[at] > 0], minlength=PLACES)[often].astype(float)
+        both = np.bincount(flat[y[at] > 0], minlength=len(df))[often].astype(float)
         g = np.zeros(len(often))
         for seen, row, col in ((both, total, pos), (total - both, total, n - pos), (pos - both, n - total, pos), (n - total - pos + both, n - total, n - pos)):
             expected = row * col / n
             g += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0)
         best = np.maximum(best, 2 * g)
     order = np.lexsort((often, -best))
-    return often[order[best[order] >= 2 * math.log(number)][:MOST_FEATURES]]
+    return often[order[best[order] >= 2 * math.log(number)][:most]]
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -192,7 +189,7 @@ def _vectors(chain: Chain, texts: list[str], key: tuple) -> np.ndarray:
         words = WORD.findall(text.lower())
         distinct = set(words)
         new = distinct.difference(known)
-        if len(known) + len(new) > CACHE_WORDS:
+        if len(known) + len(new) > CACHE_WORDS or sum(map(len, new)) > CACHE_CHARS:
             known.clear()
             new = distinct
         for w in new:
@@ -203,20 +200,33 @@ def _vectors(chain: Chain, texts: list[str], key: tuple) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most: int = 6_000) -> Chain:
-    """A chain from at most `most` labelled documents: those of the least hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most: int = 6_000, features: int = 1024, most_bytes: int = 64 << 20) -> Chain:
+    """A chain from at most `most` labelled documents, those of the least hash of doc_id, with texts of most_bytes in all (documents that no longer fit are passed over).
 
     labels: doc_id and 0/1 columns. categories: name of each category -> SQL
     condition on the label columns, in chain order. Labels with a null among
-    them are left out; of several rows for a document the largest value counts.
-    Only that sample's features come to the driver.
+    them are left out; of several rows for a document the largest value counts,
+    of several texts that of the least hash. `features` bounds the words and
+    prefixes that the models weigh (the strongest; in texts to classify all
+    words are looked up). These parameters are all that limits the fit. Only the
+    sample's features come to the driver.
     """
     names = list(categories)
-    flags = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.expr(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())])
-    flags = flags.dropna().groupBy("doc_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))])
-    sample = flags.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     n = len(names)
+    doc_id, mark = F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
+    flags = labels.select(doc_id, *[F.expr(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())])
+    flags = flags.dropna().groupBy("doc_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(n)])
+    sample = runtime.materialize(flags.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    # One text a document, however many rows its id has: reduced before anything moves.
+    met = docs.select(doc_id, mark, size).join(F.broadcast(sample.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("mark").alias("mark"), F.min_by("size", "mark").alias("size"))
+    picked, room = [], most_bytes
+    for r in met.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["size"] <= room:
+            picked.append((r["doc_id"], r["mark"]))
+            room -= r["size"]
+    wanted = docs.sparkSession.createDataFrame(picked, "doc_id bigint, mark bigint").join(sample, "doc_id")
+    rows = docs.select(doc_id, mark, F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), ["doc_id", "mark"]).dropDuplicates(["doc_id"])
     runtime.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,15 +239,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most:
                     hashes.append(sorted({h for w in distinct for h in word_features(w)}))
                     shape.append(shapes(text, words, len(distinct)))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "hashes": pa.array(hashes, pa.list_(pa.int32())), "shape": pa.array(shape, pa.list_(pa.float64()))} | {f"y{i}": part.column(2 + i) for i in range(n)})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "hashes": pa.array(hashes, pa.list_(pa.int64())), "shape": pa.array(shape, pa.list_(pa.float64()))} | {f"y{i}": part.column(2 + i) for i in range(n)})
 
-    kinds = "doc_id bigint, hashes array<int>, shape array<double>" + "".join(f", y{i} int" for i in range(n))
+    kinds = "doc_id bigint, hashes array<bigint>, shape array<double>" + "".join(f", y{i} int" for i in range(n))
     got = rows.select("doc_id", "text", *[f"y{i}" for i in range(n)]).mapInArrow(run, kinds).toArrow()
     got = got.combine_chunks().sort_by("doc_id")  # folds do not depend on the tasks
     y = np.column_stack([got.column(f"y{i}").to_numpy() for i in range(n)]) if got.num_rows else np.zeros((0, n), int)
-    hashes = got.column("hashes").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    hashes = got.column("hashes").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
     shape = np.array(got.column("shape").to_pylist(), np.float32).reshape(got.num_rows, len(SHAPES))
-    return Chain.fit(hashes.flatten().to_numpy(zero_copy_only=False), np.asarray(hashes.value_lengths()) if got.num_rows else np.zeros(0, int), shape, y, names)
+    return Chain.fit(hashes.flatten().to_numpy(zero_copy_only=False), np.asarray(hashes.value_lengths()) if got.num_rows else np.zeros(0, int), shape, y, names, features)
 
 
 def classify(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -271,14 +281,19 @@ CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows that the chain calls toxic. One pass, no shuffle."""
+    """docs, all columns, without the rows that the chain calls toxic. One pass, no shuffle.
+
+    A null text counts as empty; repeated rows go or stay alike; other columns pass
+    through whatever their names. Without labelled documents, or for an empty
+    table, nothing goes.
+    """
     spark = docs.sparkSession
     runtime.ship(spark)
     chain = train(docs, labels, CATEGORIES)
     if not chain.models:
         return docs
     shared = spark.sparkContext.broadcast(chain)
-    at, key = docs.columns.index("text"), ("drop", shared._jbroadcast.id())
+    at, key = [c.lower() for c in docs.columns].index("text"), ("drop", shared._jbroadcast.id())
     toxic = list(CATEGORIES).index("toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -188,3 +188,87 @@ def test_linear_model_separates():
     m = toxicity.Linear.fit(x, y)
     assert ((m.predict(x) > 0.5) == y).mean() > 0.97
     assert (toxicity.Linear.fit(x, np.zeros(500)).predict(x) < 1e-6).all()
+
+
+def plain_fit(x, y, penalty=1.0):
+    """Newton's method for the penalized logistic loss on standardized columns; predictions for other rows."""
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale < 1e-9] = 1
+    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    ridge = np.diag([penalty] * x.shape[1] + [0.0])
+    w = np.zeros(z.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + ridge, z.T @ (p - y) + ridge @ w)
+    return lambda v: 1 / (1 + np.exp(-(np.column_stack([(v - mean) / scale, np.ones(len(v))]) @ w)))
+
+
+def plain_chain(texts, labels, folds=5):
+    """The chain by loops over words and Newton's method: probabilities of its own training texts and thresholds."""
+    words = [[w for w in toxicity.WORD.findall(t.lower())] for t in texts]
+    sets = [{("w", w) for w in ws} | {(k, w[:k]) for w in ws for k in (4, 5, 6) if len(w) >= k} for ws in words]
+    every = sorted(set().union(*sets), key=str)
+    n, strong = len(texts), {}
+    for f in every:
+        has = np.array([f in s for s in sets])
+        if has.sum() < 2:
+            continue
+        best = 0.0
+        for y in labels.T:
+            g = 0.0
+            for a in (has, ~has):
+                for b in (y == 1, y == 0):
+                    seen, expected = (a & b).sum(), a.sum() * b.sum() / n
+                    g += seen * math.log(seen / expected) if seen else 0
+            best = max(best, 2 * g)
+        if best >= 2 * math.log(len(every)):
+            strong[f] = best
+    x = np.array([[f in s for f in strong] for s in sets], float)
+    x = np.column_stack([x, [toxicity.shapes(t, w, len(set(w))) for t, w in zip(texts, words, strict=True)]])
+    known, out = x, []
+    for y in labels.T.astype(float):
+        outside = np.zeros(n)
+        for f in range(folds):
+            held = np.arange(n) % folds == f
+            outside[held] = plain_fit(x[~held], y[~held])(x[held])
+        model = plain_fit(x, y)
+        p = model(known)
+        out.append(p)
+        x, known = np.column_stack([x, outside]), np.column_stack([known, p])
+    return np.column_stack(out), len(strong)
+
+
+def test_chain_equals_plain_chain(spark):
+    r = random.Random(4)
+    texts, labels = [], []
+    for i in range(60):
+        bad, poor = i % 4 == 0, i % 3 == 0
+        ws = [r.choice(["river", "stone", "lantern", "meadow", "harbor", "garden", "window"]) for _ in range(12)]
+        ws += [r.choice(["vileword", "nastyterm"])] * (bad or r.random() < 0.1) + ["CLICK", "buy!!"] * (poor and r.random() < 0.9)
+        r.shuffle(ws)
+        texts.append(" ".join(ws))
+        labels.append((int(not poor), int(bad)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    flags = spark.createDataFrame([(i, *y) for i, y in enumerate(labels)], "doc_id bigint, quality int, toxic int")
+    chain = toxicity.train(docs, flags, toxicity.CATEGORIES)
+    got = sorted(toxicity.classify(docs, chain).collect(), key=lambda x: x["doc_id"])
+    want, strong = plain_chain(texts, np.array([(1 - q, t) for q, t in labels]))
+    assert len(chain.features) == strong > 0
+    assert np.abs(np.array([(x["p_low_quality"], x["p_toxic"]) for x in got]) - want).max() < 0.02
+    assert [x["toxic"] for x in got] == [p >= chain.thresholds[1] for p in want[:, 1]]
+
+
+def test_repeated_ids_and_many_languages_are_bounded(spark, spoken):
+    texts = {i: speech("aa", i) for i in range(30)}
+    rows = [(i, t, "aa") for i, t in texts.items()] + [(3, speech("aa", 1000 + k), "aa") for k in range(200)]
+    once = language_id.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), per_language=5)
+    again = language_id.learn(spark.createDataFrame(rows * 3, "doc_id bigint, text string, lang string"), per_language=5)
+    assert once.trees[0].fours.tolist() == again.trees[0].fours.tolist()
+    dirty = spark.createDataFrame([(i, speech("bb", i), f"l{i % 90}") for i in range(900)], "doc_id bigint, text string, lang string")
+    model = language_id.learn(dirty, most_documents=90, most_bytes=90 * 100)
+    assert len(model.languages) == 90
+    assert max(int(t.four_cost.size) for t in model.trees) < 2000
+    docs = spark.createDataFrame([(i % 4, f"word{i} stone river") for i in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(4)], "doc_id bigint, quality int, toxic int")
+    assert len(toxicity.train(docs, labels, toxicity.CATEGORIES).models) == 2
+    assert not toxicity.train(docs, labels, toxicity.CATEGORIES, most_bytes=0).models
