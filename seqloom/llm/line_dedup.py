@@ -1,13 +1,18 @@
 """Line dedup (operator 2), with DataFrame functions only.
 
-Lines that are not blank are hashed. Winnowing takes the least hash of each
-window of `window` lines as a fingerprint, so any two runs of that many equal
-lines share one; a line of `long_words` words or more is a fingerprint of its
-own. Fingerprints found at one position only go. The others' windows are the
-matches extended by a step each way: equal windows are joined with their first
-position, and the lines of every later one are deleted. Runs of any length are
-covered window by window. No pair of positions is ever formed, so a line that a
-third of the documents share costs a row an occurrence.
+Lines that are not blank are hashed. Winnowing selects the least hash of each
+window of `window` lines: its position is a fingerprint, and any two runs of that
+many equal lines have one in common. A line of `long_words` words or more is a
+fingerprint of its own. Positions are joined by fingerprint; those found once go.
+Each of the others is extended to both sides: to the windows that selected it,
+some of its lines before it and some behind. Extensions that are equal to an
+earlier one, by 128 bits of hash over all their lines, are matches; touching and
+overlapping matches make up the maximal repeated runs, and all but a run's first
+occurrence is deleted.
+
+A third of the documents may share a line: neither join deals the rows of such a
+fingerprint or match to one task (runtime.join_hot), and no pairs of positions
+are formed, as each extension is compared with the first one of its kind alone.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from pyspark.sql import functions as F
 from seqloom import runtime
 
 LOWEST = -(1 << 63)
+#: Occurrences of a fingerprint or a match that are dealt to one task.
+HOT_ROWS = 1 << 10
 
 
 def _trimmed(line: Column) -> Column:
@@ -29,38 +36,44 @@ def _words(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def windows(docs: DataFrame, window: int, long_words: int) -> DataFrame:
-    """ord, th, fp, key, at, n: each window of lines that are not blank, with its least hash, the hash of all, its first line and its number of lines.
+def fingerprints(docs: DataFrame, window: int, long_words: int) -> DataFrame:
+    """ord, th, at, fp, around: a row a selected position, with its hash and the windows that selected it: their first line, number of lines and two hashes of all their lines.
 
     Lines are numbered 0, 1, ... among those that are not blank.
     """
     x = F.filter(F.transform(F.split("text", "\n"), _trimmed), lambda e: e != "")
     base = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("ord"), F.xxhash64("text").alias("th"), x.alias("x"))
-    entries = F.transform("x", lambda e: F.struct(F.xxhash64(e).alias("h"), (_words(e) >= long_words).alias("long")))
-    # Exploding keeps Catalyst from repeating the expression for each use below.
+    entries = F.transform("x", lambda e: F.struct(F.xxhash64(e).alias("a"), F.xxhash64(F.lit(1), e).alias("b"), (_words(e) >= long_words).alias("long")))
+    # Exploding keeps Catalyst from repeating the expressions for each use below.
     held = base.select("ord", "th", F.explode(F.array(entries)).alias("e"))
     count = F.greatest(F.size("e") - window + 1, F.lit(0))
-    runs = F.transform(F.slice("e", 1, count), lambda a, i: F.struct(i.alias("at"), F.array(a["h"]).alias("hs")))
+    runs = F.transform(F.slice("e", 1, count), lambda r, i: F.struct(i.alias("at"), F.array(r["a"]).alias("a"), F.array(r["b"]).alias("b")))
     for k in range(1, window):
-        runs = F.zip_with(runs, F.slice("e", k + 1, count), lambda r, a: F.struct(r["at"].alias("at"), F.concat(r["hs"], F.array(a["h"])).alias("hs")))
-    single = F.filter(F.transform("e", lambda a, i: F.struct(F.when(a["long"], i).alias("at"), F.array(a["h"]).alias("hs"))), lambda r: r["at"].isNotNull())
-    rows = held.select("ord", "th", F.explode(F.concat(runs, single)).alias("r"))
-    return rows.select("ord", "th", F.array_min("r.hs").alias("fp"), F.xxhash64("r.hs").alias("key"), F.col("r.at").alias("at"), F.size("r.hs").alias("n"))
+        runs = F.zip_with(runs, F.slice("e", k + 1, count), lambda r, y: F.struct(r["at"].alias("at"), F.concat(r["a"], F.array(y["a"])).alias("a"), F.concat(r["b"], F.array(y["b"])).alias("b")))
+    least = F.transform(runs, lambda r: F.struct((r["at"] + F.array_position(r["a"], F.array_min(r["a"])) - 1).cast("int").alias("of"), F.array_min(r["a"]).alias("fp"), r["at"].alias("at"), F.lit(window).alias("n"), F.xxhash64(r["a"]).alias("k"), F.xxhash64(r["b"]).alias("l")))
+    wide = held.select("ord", "th", "e", F.explode(F.array(least)).alias("w"))
+    # Windows that select the same position follow one another: the first of them stands for the position.
+    first = F.filter("w", lambda r, i: (i == 0) | (r["of"] != F.get(F.col("w"), i - 1)["of"]))
+    around = lambda r: F.transform(F.filter(F.slice("w", r["at"] + 1, window), lambda y: y["of"] == r["of"]), lambda y: F.struct(y["at"], y["n"], y["k"], y["l"]))
+    chosen = F.transform(first, lambda r: F.struct(r["of"].alias("at"), r["fp"].alias("fp"), around(r).alias("around")))
+    alone = F.transform(F.filter(F.transform("e", lambda r, i: F.struct(i.alias("at"), r.alias("r"))), lambda r: r["r"]["long"]), lambda r: F.struct(r["at"].alias("at"), r["r"]["a"].alias("fp"), F.array(F.struct(r["at"].alias("at"), F.lit(1).alias("n"), r["r"]["a"].alias("k"), r["r"]["b"].alias("l"))).alias("around")))
+    return wide.select("ord", "th", F.explode(F.concat(chosen, alone)).alias("r")).select("ord", "th", "r.at", "r.fp", "r.around")
 
 
 def repeated_lines(docs: DataFrame, window: int = 2, long_words: int = 50) -> DataFrame:
     """ord, th, gone: the numbers (among lines that are not blank) to delete, for documents that have any.
 
-    Positions are ordered by doc_id (null first), text hash and line; all but the
-    first of equal windows are deleted. Rows of the same doc_id and text are one
-    document given twice and get the same lines.
+    Positions are ordered by doc_id (null first), text hash and line. Rows of the
+    same doc_id and text are one document given twice and get the same lines.
     """
-    spread = runtime.materialize(windows(docs, window, long_words))
+    positions = runtime.materialize(fingerprints(docs, window, long_words))
     place = F.xxhash64("ord", "th", "at")
-    prints = spread.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
-    matched = spread.join(prints, "fp", "left_semi").select("key", F.struct("ord", "th", "at").alias("p"), "n")
-    first = matched.groupBy("key").agg(F.min("p").alias("first"))
-    later = matched.join(first, "key").where(F.col("p") > F.col("first"))
+    shared = positions.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("rows")).where("a <> b").select("fp", "rows")
+    joined = runtime.join_hot(positions, runtime.materialize(shared), ["fp"], "rows", hot_rows=HOT_ROWS)
+    extended = joined.select("ord", "th", F.explode("around").alias("w")).select("w.k", "w.l", "w.n", F.struct("ord", "th", "w.at").alias("p"))
+    extended = runtime.materialize(extended)
+    first = extended.groupBy("k", "l", "n").agg(F.min("p").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    later = runtime.join_hot(extended, runtime.materialize(first), ["k", "l", "n"], "rows", hot_rows=HOT_ROWS).where("p > first")
     lines = F.sequence(F.col("p.at"), F.col("p.at") + F.col("n") - 1)
     return later.groupBy(F.col("p.ord").alias("ord"), F.col("p.th").alias("th")).agg(F.array_distinct(F.flatten(F.collect_set(lines))).alias("gone"))
 
