@@ -97,38 +97,56 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, n_chars bigint, fingerprint string")
 
 
-def _below(value: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most value, by bisection in as many steps as the count has bits."""
+#: Characters of a text by which rows of one doc_id are dealt to shards.
+HEAD = 32
+#: Shards at most (beyond 6 MB each they grow with the input; a task holds two documents at a time) and rows sampled a shard for their bounds.
+MOST_SHARDS, SAMPLED = 1 << 16, 16
+
+
+def _below(ord_: Column, head: Column, bounds: list[tuple[int, str]]) -> Column:
+    """How many of the sorted bounds are at most (ord, head), by bisection in as many steps as the count has bits."""
     depth = max(1, len(bounds).bit_length())
-    padded = F.lit(bounds + [(1 << 63) - 1] * ((1 << depth) - 1 - len(bounds)))
+    padded = bounds + [((1 << 63) - 1, "\U0010ffff" * (HEAD + 1))] * ((1 << depth) - 1 - len(bounds))
+    numbers, heads = F.lit([x for x, _ in padded]), F.lit([x for _, x in padded])
     steps = F.lit([1 << i for i in reversed(range(depth))])
-    return F.aggregate(steps, F.lit(0), lambda acc, s: F.when(F.element_at(padded, acc + s) <= value, acc + s).otherwise(acc))
+
+    def at_most(k: Column) -> Column:
+        n = F.element_at(numbers, k)
+        return (n < ord_) | ((n == ord_) & (F.element_at(heads, k) <= head))
+
+    return F.aggregate(steps, F.lit(0), lambda acc, s: F.when(at_most(acc + s), acc + s).otherwise(acc))
 
 
 def with_neighbours(docs: DataFrame, bytes_each: int = 6 << 20) -> DataFrame:
-    """shard, copy, ord, doc_id, text, dealt so that a shard holds a run of documents in ascending order of doc_id.
+    """shard, copy, ord, doc_id, text, dealt so that a shard holds a run of documents in ascending order of doc_id, then text.
 
     The first document of each shard also goes to the shard before it (of the
     first shard: to the last) as copy 1: a document's successor is always at hand
-    and no window spans all rows. Bounds come from quantiles of doc_id alone; a
-    value a shard is all that the driver sees. One shuffle of the texts.
+    and no window spans all rows. Bounds are taken from a sample of (doc_id, start
+    of the text), so the rows of one doc_id or of none are parted too; they decide
+    where a row is worked on, never what comes out. The driver sees SAMPLED rows
+    and a first document a shard. One shuffle of the texts, a shard a partition.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("ord"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = runtime.partitions_for(docs, bytes_each)
-    bounds: list[int] = []
+    n = min(runtime.partitions_for(docs, bytes_each), MOST_SHARDS)
+    head = F.substring("text", 1, HEAD)
+    bounds: list[tuple[int, str]] = []
     if n > 1:
-        cuts = rows.select(F.percentile_approx("ord", F.lit([i / n for i in range(1, n)]), F.lit(max(10_000, 20 * n))).alias("q")).first()["q"]
-        bounds = sorted(set(cuts or []))
-    sharded = rows.withColumn("shard", _below(F.col("ord"), bounds) if bounds else F.lit(0))
-    first = {r["shard"]: r["low"] for r in sharded.groupBy("shard").agg(F.min("ord").alias("low")).collect()}  # a row a shard
+        share = min(1.0, SAMPLED * n / max(1, docs.count()))
+        seen = sorted((r["ord"], r["head"]) for r in rows.sample(share, 1).select("ord", head.alias("head")).collect())
+        bounds = sorted({seen[i * len(seen) // n] for i in range(1, n)}) if seen else []
+    sharded = rows.withColumn("shard", _below(F.col("ord"), head, bounds) if bounds else F.lit(0))
+    first = {r["shard"]: (r["low"]["ord"], r["low"]["head"]) for r in sharded.groupBy("shard").agg(F.min(F.struct("ord", head.alias("head"))).alias("low")).collect()}  # a row a shard
     used = sorted(first)
     before = dict(zip(used, used[-1:] + used[:-1], strict=True))
     top = (used[-1] if used else 0) + 1
-    is_first = F.col("ord") == F.element_at(F.lit([first.get(i, LOWEST) for i in range(top)]), F.col("shard") + 1)
-    previous = F.element_at(F.lit([before.get(i, 0) for i in range(top)]), F.col("shard") + 1)
+    own = F.col("shard") + 1
+    lows = [first.get(i, (LOWEST, "")) for i in range(top)]
+    is_first = (F.col("ord") == F.element_at(F.lit([x for x, _ in lows]), own)) & (head == F.element_at(F.lit([x for _, x in lows]), own))
+    previous = F.element_at(F.lit([before.get(i, 0) for i in range(top)]), own)
     here, there = F.struct(F.col("shard").alias("shard"), F.lit(0).alias("copy")), F.struct(previous.alias("shard"), F.lit(1).alias("copy"))
     dealt = sharded.select(F.explode(F.when(is_first, F.array(here, there)).otherwise(F.array(here))).alias("to"), "ord", "doc_id", "text")
-    return dealt.select("to.shard", "to.copy", "ord", "doc_id", "text").repartition(max(n, 1), "shard").sortWithinPartitions("shard", "copy", "ord", "text")
+    return dealt.select("to.shard", "to.copy", "ord", "doc_id", "text").repartitionById(top, F.col("shard")).sortWithinPartitions("shard", "copy", "ord", "text")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
