@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,10 +29,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom import runtime
-from seqloom.llm.bpe import CACHE_CHARS, CACHE_WORDS, SPACE, library_tokenizer
+from seqloom.llm.bpe import CACHE_CHARS, SPACE, is_latin, library_tokenizer
 from seqloom.llm.texts import Splitter, chunks
 
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: Distinct pre-tokens (most with a space in front, so twice the words) that a worker remembers before it starts afresh; changes no result.
+CACHE_WORDS = 600_000
+#: The same pattern where the classes are short lists: texts of Latin-1 characters.
+_LETTERS, _NUMBERS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBERS}]+| ?[^{SPACE}{_LETTERS}{_NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 class ByteEncoder:
@@ -53,6 +59,8 @@ class ByteEncoder:
         self.known: dict[str, bytes] = {}
         self.chars = 0
         self.added = {s: np.array([i], "<u4").tobytes() for s, i in added.items()} if special else {}
+        # (Every added token of such a file has a "<", or the quick test below would not do.)
+        plain &= all("<" in t for t in added)
         self._cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.split = Splitter(PATTERN) if plain else None
         if plain:
@@ -63,15 +71,16 @@ class ByteEncoder:
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens in order; an added token stands among them as its own string."""
-        if self._cut and len(parts := self._cut.split(text)) > 1:
-            return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.split.findall(part))]
-        return self.split.findall(text)
+        find = LATIN.findall if is_latin(text) else self.split.findall
+        if self._cut and "<" in text and len(parts := self._cut.split(text)) > 1:
+            return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else find(part))]
+        return find(text)
 
-    def learn(self, words: set[str]) -> None:
-        new = words.difference(self.known)
+    def learn(self, new: set[str], split: list[list[str]]) -> None:
+        """Encode new pre-tokens; where there is no room for them, forget all but those of `split`."""
         size = sum(map(len, new))
         if len(self.known) + len(new) > CACHE_WORDS or self.chars + size > CACHE_CHARS:
-            self.known, new = {}, words
+            self.known, new = {}, set().union(*split)
             self.chars, size = 0, sum(map(len, new))
         self.chars += size
         todo = list(new.difference(self.added))
@@ -79,23 +88,26 @@ class ByteEncoder:
         for w, e in zip(todo, self.library.encode_batch_fast(todo, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
 
-    def raw(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def raw(self, texts: list[str], together: int = 100) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; new pre-tokens of `together` texts are encoded in one call."""
         if self.split is None:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.words(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for at in range(0, len(texts), together):
+            split = [self.words(t) for t in texts[at : at + together]]
+            new = set().union(*split).difference(self.known)
+            if new:
+                self.learn(new, split)
+            get = self.known.__getitem__
+            out += [b"".join(map(get, words)) for words in split]
+        return out
 
     def counts(self, words: list[str]) -> list[int]:
         """Number of ids of each pre-token, without the memory."""
         return [len(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.raw(text), "<u4")
+        return np.frombuffer(self.raw([text])[0], "<u4")
 
 
 _encoders: dict[tuple[str, bool], ByteEncoder] = {}
@@ -118,8 +130,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, kee
             ids = batch.column(0)
             for a, b, texts in chunks(batch):
                 row, piece, start, length, crc, rank, raw = [], [], [], [], [], [], []
-                for i, text in enumerate(texts):
-                    e = np.frombuffer(encode(text) + end, "<u4")
+                for i, data in enumerate(encode(texts)):
+                    e = np.frombuffer(data + end, "<u4")
                     n, at, k = len(e), 0, 0
                     size = n % capacity or capacity
                     while at < n:
