@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
+from seqloom import runtime
 from seqloom.functions.alphabet import BLOSUM62
 from seqloom.operators.search import SearchOptions
 from seqloom.plans import homology
@@ -56,6 +57,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         options = SearchOptions(matrix=stored.settings.matrix, mask=args.filter == "T", results=args.results, per_subject=args.per_subject)
         found = homology.search(stored, rows.withColumnRenamed("seq_id", "query_id"), args.kind == "d", options)
         fasta.write_tsv(found, args.output)
+    runtime.drop_all(spark)
 
 
 if __name__ == "__main__":

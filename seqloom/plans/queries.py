@@ -419,7 +419,7 @@ def search_space(spark, sf_dir):
     """Effective search space of each passage at a length adjustment of 5."""
     row = database.statistics(subjects(spark, sf_dir)).first()
     m = F.length("seq").cast("bigint")
-    return passages(spark, sf_dir).select(F.col("query_id").alias("item_id"), F.greatest(F.lit(1), (F.lit(row["total_length"]) - F.lit(row["sequences"] * 5)) * (m - 5)).cast("bigint").alias("space"))
+    return passages(spark, sf_dir).select(F.col("query_id").alias("item_id"), st.space_column(F.lit(row["total_length"]), m, F.lit(row["sequences"]), F.lit(5)).cast("bigint").alias("space"))
 
 
 @query()

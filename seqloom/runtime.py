@@ -43,13 +43,28 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one of our own where that is unset."""
+    """A new folder in this session's own one (session_dir)."""
+    return f"{session_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def session_dir(spark: SparkSession) -> str:
+    """Where this session's intermediate tables lie: below spark.checkpoint.dir.
+
+    Where that is unset: below the warehouse, which a cluster shares; with a local
+    master, in a temporary folder that goes with the process.
+    """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_seqloom_base", None)
-    if not base:
+    if not base and sc.master.startswith("local"):
         base = sc._seqloom_base = tempfile.mkdtemp(prefix="seqloom-work-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/seqloom-{uuid.uuid4().hex}"
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/seqloom-{sc.applicationId}"
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete every intermediate table of this session, once no DataFrame made from them is needed."""
+    drop_path(spark, session_dir(spark))
 
 
 def materialize(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from seqloom.functions.alphabet import BLOSUM62, DNA
 
 MATCH = np.full((5, 5), -1)
 np.fill_diagonal(MATCH, 2)
+# Sequences and their masked forms.
 MASKS = {
     "SESEWWAKKPILQNFMKGAYCPLND": None,
     "ARASGGQKNLYCKIL*KVLIVL*M": None,
@@ -137,6 +138,32 @@ def test_chain_filter(subject, hits, kept):
     assert chained(q, s, np.array(hits), MATCH, 1).sum() == kept
 
 
+def test_lanes_do_not_touch_one_another():
+    r = np.random.default_rng(8)
+    qs = [r.integers(0, 20, int(r.integers(0, 90))).astype(np.uint8) for _ in range(70)]
+    ss = [np.insert(np.where(r.random(len(q)) < 0.8, q, r.integers(0, 20, len(q))), len(q) // 2, r.integers(0, 20, 4)).astype(np.uint8) if len(q) else q for q in qs]
+
+    def lanes(rows):
+        high = np.cumsum([len(x) for x in rows])
+        low = high - [len(x) for x in rows]
+        return al.Lanes(np.concatenate(rows), low, low, high)
+
+    for cutoff in (5, 26, 52, 5000):  # 16 bits, 32 bits
+        all_ = al.gapped_sides(lanes(qs), lanes(ss), 1, BLOSUM62.values, 11, 1, cutoff, trace=True)
+        for i, (q, s) in enumerate(zip(qs, ss, strict=True)):
+            assert al.gapped_side(q, s, BLOSUM62.values, 11, 1, cutoff, trace=True) == (all_.score[i], all_.query[i], all_.subject[i], all_.scripts[i])
+
+
+def test_length_adjustment_is_the_largest_fixed_point():
+    p, alpha, beta = st.gapped_parameters()
+    r = random.Random(6)
+    for _ in range(300):
+        m, k = int(10 ** r.uniform(0.5, 3)), int(10 ** r.uniform(0, 4))
+        n = int(k * 10 ** r.uniform(0.5, 3))
+        holds = [x for x in range(m) if k * x < n and p.k * (m - x) * (n - k * x) >= max(m, n) and alpha / p.lam * np.log(p.k * (m - x) * (n - k * x)) + beta >= x]
+        assert st.length_adjustment(m, n, k, p, alpha, beta) == max(holds, default=0)
+
+
 def test_edit_scripts():
     assert al.runs("SSIIS") == [("S", 2), ("I", 2), ("S", 1)]
     assert al.merge([("S", 2)], [("S", 3), ("D", 1)]) == [("S", 5), ("D", 1)]

@@ -8,6 +8,7 @@ from seqloom.operators.search import SearchOptions
 from seqloom.plans import homology
 from seqloom.sources import database, fasta
 
+# A small database, queries and their expected alignments.
 SUBJECTS = ["SESEWWAKKPILQNFMKGAYCPLND", "TLFVTTSNMFMIQSMATNQLGLRPL", "MKTPQALSQLDRWEQLLESQYSFMF", "CVDQPQIQRCNFEWYHRMQVWGRCD", "ENLVSSSEYRADNWWYVLWIIQLFD", "A" * 25, "AAAAAAAAAAAAAAAMKGAYCPLND"]
 QUERIES = ["AGCGAGAGCGAGTGGTGGGCAAAAAAACCTATACTGCAAAATTTTATGAAAGGTGCTTATTGTCCTCTGAATGAT", "AAGCGAGAGCGAGTGGTGGGCAAAAAAACCTATACTGCAAAATTTTATGAAAGGTGCTTATTGTCCTCTGAATGA", "GCT" * 25, "GCT" * 15 + "ATGAAAGGTGCTTATTGTCCTCTGAATGAT"]
 QUERIES.append(QUERIES[3][::-1].translate(str.maketrans("ACGT", "TGCA")))
