@@ -7,6 +7,8 @@ all that the stage before it kept, read again from the written table.
 
 An empty table passes through every stage; null texts count as empty and go
 with the language stage; extra columns pass through the first four stages.
+Rows are judged by doc_id and text: of rows equal in both the SimHash stage keeps
+one, unlike texts of one doc_id (or of none) go or stay each for itself.
 """
 
 from __future__ import annotations
