@@ -97,4 +97,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.oracle()}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.oracle(), "op7_embedding_dedup": embedding_dedup.oracle()}

@@ -295,6 +295,10 @@ def test_embeddings_equal_brute_force(spark):
             assert (g["n_links"], g["component_id"]) == (1, 1006)
         else:
             assert (g["n_links"], g["component_id"], g["kept"]) == (0, i, True)
+    con = duckdb.connect()
+    con.sql("create table embeddings (vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", [r[:2] for r in rows + odd])
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == sorted(con.sql(embedding_dedup.oracle()).fetchall())
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
