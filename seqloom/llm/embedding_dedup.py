@@ -8,12 +8,16 @@ cosine in double precision. Identical vectors form a class that counts once.
 
 The number of tables follows from a simulation of the collision rate at the
 threshold; `parts` from the number of vectors, so chance groups stay small.
+
+A check of all pairs of classes, block by block, follows and adds the links
+between vectors that share no key. Its work grows with the square of the classes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,10 @@ SEED = 20_240
 ROUNDS = 3
 #: plan() refuses what would need more tables.
 MOST_TABLES = 64
+#: Hasher.keys rotates rows of so many components at once, over all tables.
+KEY_CELLS = 1 << 15
+#: The check of all pairs takes blocks of at most so many vectors, and of so many bytes of doubles where they are long.
+CHECK_ROWS, CHECK_BYTES = 1024, 4 << 20
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -46,42 +54,41 @@ def width_of(dim: int) -> int:
 
 
 class Hasher:
-    """Keys of unit vectors of one dimension."""
+    """Keys of unit vectors of one dimension. A table's rotations depend on its number alone; the first one's is `first`."""
 
-    def __init__(self, dim: int, tables: int, parts: int, seed: int = SEED):
+    def __init__(self, dim: int, tables: int, parts: int, seed: int = SEED, first: int = 0):
         self.dim, self.tables, self.parts = dim, tables, parts
         self.width = width_of(dim)
         if dim * tables * (2 * self.width) ** parts >= 1 << 62:
             raise ValueError("keys exceed 62 bits")
-        self.signs = np.random.default_rng([seed, dim]).choice([-1.0, 1.0], (tables, parts, ROUNDS, self.width))
+        self.signs = np.stack([np.random.default_rng([seed, dim, t]).choice([-1.0, 1.0], (parts, ROUNDS, self.width)) for t in range(first, first + tables)])
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """(vectors, tables, 1 + parts): the nearest key and those with one part at its second nearest axis."""
-        padded = np.zeros((len(x), self.width))
-        padded[:, : self.dim] = x
         out = np.empty((len(x), self.tables, 1 + self.parts), np.int64)
-        rows, base = np.arange(len(x)), 2 * self.width
-        for t in range(self.tables):
-            codes = np.empty((self.parts, 2, len(x)), np.int64)
-            for p in range(self.parts):
-                y = padded
-                for signs in self.signs[t, p]:
-                    y = hadamard(y * signs)
-                size = np.abs(y)
-                first = size.argmax(axis=1)
-                size[rows, first] = -1
-                for i, axis in enumerate((first, size.argmax(axis=1))):
-                    codes[p, i] = 2 * axis + (y[rows, axis] < 0)
+        base, rows = 2 * self.width, max(1, KEY_CELLS // (self.tables * self.parts * self.width))
+        for s in range(0, len(x), rows):
+            some = x[s : s + rows]
+            y = np.zeros((self.tables, self.parts, len(some), self.width))
+            y[..., : self.dim] = some
+            for k in range(ROUNDS):
+                y = hadamard((y * self.signs[:, :, k, None]).reshape(-1, self.width)).reshape(y.shape)
+            size = np.abs(y)
+            codes = []
+            for _ in range(2):
+                axis = size.argmax(axis=-1)[..., None]
+                codes.append((2 * axis + (np.take_along_axis(y, axis, -1) < 0))[..., 0])
+                np.put_along_axis(size, axis, -1, -1)
             for probe in range(1 + self.parts):
-                key = np.full(len(x), self.dim * self.tables + t, np.int64)
+                key = np.repeat(self.dim * self.tables + np.arange(self.tables)[:, None], len(some), axis=1)
                 for p in range(self.parts):
-                    key = key * base + codes[p, int(probe == p + 1)]
-                out[:, t, probe] = key
+                    key = key * base + codes[int(probe == p + 1)][:, p]
+                out[s : s + rows, :, probe] = key.T
         return out
 
 
 def plan(dim: int, n: int, cosine: float, recall: float) -> tuple[int, int]:
-    """(tables, parts) for n vectors: simulated recall at the threshold is `recall` or more.
+    """(tables, parts) for n vectors: the recall of these very tables on simulated pairs at the threshold is `recall` or more.
 
     Parts are what keeps chance groups small; where MOST_TABLES tables of so many
     parts do not reach the recall, there are fewer parts and larger groups.
@@ -96,7 +103,7 @@ def plan(dim: int, n: int, cosine: float, recall: float) -> tuple[int, int]:
     for parts in range(wanted, 0, -1):
         missed = np.ones(len(a), bool)
         for tables in range(1, MOST_TABLES + 1):
-            one = Hasher(dim, 1, parts, SEED + tables)
+            one = Hasher(dim, 1, parts, first=tables - 1)
             ka, kb = one.keys(a)[:, 0], one.keys(b)[:, 0]
             missed &= ~(ka[:, :, None] == kb[:, None, :]).any(axis=(1, 2))
             if missed.mean() <= 1 - recall:
@@ -106,12 +113,40 @@ def plan(dim: int, n: int, cosine: float, recall: float) -> tuple[int, int]:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Unit vectors of a column of vectors that have a component other than zero; each is first divided by its greatest one, so that no square over- or underflows."""
-    flat = np.concatenate([np.asarray(column.flatten(), dtype=np.float64)])
-    x = flat.reshape(len(column), -1)
+    return _unit(_raw(column))
+
+
+def _raw(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, initial=0)[:, None]
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def _whole(x: np.ndarray) -> list[int]:
+    """A finite vector times a power of two, in whole numbers."""
+    m, e = np.frexp(x)
+    e = np.where(x == 0, 0, e - e[x != 0].min())
+    return [int(a) << int(b) for a, b in zip(np.ldexp(m, 53).tolist(), e.tolist(), strict=True)]
+
+
+def _reaches(x: np.ndarray, y: np.ndarray, cosine: float) -> bool:
+    """Whether the cosine of two vectors, as the nearest double, is at least `cosine`: in whole numbers, without a rounding."""
+    a, b = _whole(x), _whole(y)
+    dot, squares = sum(map(int.__mul__, a, b)), sum(p * p for p in a) * sum(p * p for p in b)
+    least = (Fraction(cosine) + Fraction(float(np.nextafter(cosine, -2.0)))) / 2  # what is below rounds to less than `cosine`
+    n, d = least.as_integer_ratio()
+    return dot * abs(dot) * d * d >= n * abs(n) * squares
+
+
+def _settle(link: np.ndarray, cos: np.ndarray, x: np.ndarray, y: np.ndarray, cosine: float) -> None:
+    """Correct link (cos >= cosine, by unit vectors) where cos is within its rounding error of the threshold; x, y: the vectors of its rows and columns."""
+    for i, j in np.argwhere(np.abs(cos - cosine) <= (x.shape[1] + 8) * 2.0**-51):
+        link[i, j] = _reaches(x[i], y[j], cosine)
+
+
 def _by_dim(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose vectors are of one length."""
     lengths = np.asarray(pc.list_value_length(batch.column(column)))
@@ -123,10 +158,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     """vec_id, n_links, component_id, kept of every vector.
 
     vectors: vec_id, embedding (array of numbers); other columns are ignored.
-    Pairs that share a key and have a cosine of at least `cosine` are linked,
-    others never. A pair right at the threshold is found with probability
-    `recall` or more, closer ones more surely, identical vectors always. Vectors
-    that are null, empty or zero or hold a null or non-finite component link
+    Pairs with a cosine of at least `cosine`, as the double nearest to it, are
+    linked, others never. Those that share a key are found by it: a pair right at
+    the threshold with probability `recall` or more, closer ones more surely,
+    identical vectors always. The others are found by the check of all pairs
+    of distinct vectors that follows, so none is left out. Vectors that are null, empty or zero or hold a null or non-finite component link
     with nothing, as do vectors of different length; components may be of any finite
     size. A recall that MOST_TABLES tables do not reach at the cosine is an error. A null vec_id takes part
     and gets its component's smallest id (null if it has none), not kept.
@@ -162,13 +198,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
         a, b, n = [], [], []
         linked: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # (group start, rows, rows, links)
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            x = _matrix(lists.slice(s, e - s))
+            raw = _raw(lists.slice(s, e - s))
+            x = _unit(raw)
             own = nodes[s:e]
             if lo[s] != hi[s]:
                 left, right = np.flatnonzero(block[s:e] == lo[s]), np.flatnonzero(block[s:e] == hi[s])
             else:
                 left = right = np.arange(e - s)
-            link = x[left] @ x[right].T >= cosine
+            cos = x[left] @ x[right].T
+            link = cos >= cosine
+            _settle(link, cos, raw[left], raw[right], cosine)
             link &= own[left][:, None] != own[right][None]
             i, j = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
             if len(i):
@@ -183,12 +222,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
             keys[int(d)] = Hasher(int(d), *plans[int(d)]).keys(_matrix(lists.take(pa.array(some))))
         for s, left, right, link in linked:
             crossed = lo[s] != hi[s]
-            sides = [(left, right, link)] + ([(right, left, link.T)] if crossed else [])
-            for one, other, near in sides:  # a star: the least neighbour of each
-                least = np.where(near, nodes[other][None], np.iinfo(np.int64).max).min(axis=1)
-                a.append(nodes[one])
-                b.append(least)
-                n.append(np.zeros(len(one), np.int64))
+            for star in _stars(link | (nodes[left][:, None] == nodes[right]), nodes[left], nodes[right]):
+                a.append(star[1:])
+                b.append(np.full(len(star) - 1, star[0]))
+                n.append(np.zeros(len(star) - 1, np.int64))
             own = keys[len(lists[s])]
             fresh = _first(link, own[place[left]], own[place[right]], int(key[s]))
             for one, count in ((left, fresh @ copies[right]), *([(right, copies[left] @ fresh)] if crossed else [])):
@@ -200,7 +237,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
             yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b), "n": np.concatenate(n)})
 
     partitions = max(runtime.partitions_for(keyed, 1 << 20), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = runtime.materialize(by_group(members, ["key", "lo", "hi"], [], partitions, verify, "a bigint, b bigint, n bigint"))
+    by_key = by_group(members, ["key", "lo", "hi"], [], partitions, verify, LINKS)
+    found = runtime.materialize(by_key.unionByName(_keyless(classes, plans, cosine)))
     counts = found.where("a = b").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "node")
     homes = least_ids(components(found.where("a <> b").select("a", "b")), classes)
     known = classes.join(counts, "node", "left").join(homes, "node", "left").select(F.col("v").alias("_v"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("top", "least").alias("component_id"))
@@ -210,6 +248,137 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+#: a, b: two nodes of one component; where a = b, n vectors that a is linked with.
+LINKS = "a bigint, b bigint, n bigint"
+
+
+def _keyless(classes: DataFrame, plans: dict[int, tuple[int, int]], cosine: float) -> DataFrame:
+    """LINKS of pairs of classes that share no key: every block of vectors against every block.
+
+    Single precision picks what may reach the threshold, with a margin beyond its
+    rounding error; keys and then double precision decide on these. Blocks are
+    written once and meet in a Cartesian product: nothing is dealt out or sent to the driver.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+
+        def block(d: int) -> pa.RecordBatch:
+            nodes, copies, x = map(np.concatenate, zip(*held.pop(d), strict=True))
+            with np.errstate(over="ignore"):
+                single = x.astype(np.float32)
+            x = single if (single == x).all() else x
+            return pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "width": pa.array([x.itemsize], pa.int32()), "block": nodes[:1], "nodes": [nodes.tobytes()], "copies": [copies.tobytes()], "x": [x.tobytes()]})
+
+        for batch in batches:
+            for part in _by_dim(batch, "v"):
+                nodes, copies, x = part.column(0).to_numpy(), part.column(1).to_numpy(), _raw(part.column(2))
+                d = x.shape[1]
+                most = min(CHECK_ROWS, max(1, CHECK_BYTES // (8 * d)))
+                while len(x):
+                    room = most - sum(len(h[0]) for h in held.get(d, []))
+                    held.setdefault(d, []).append((nodes[:room], copies[:room], x[:room]))
+                    if len(x) >= room:
+                        yield block(d)
+                    nodes, copies, x = nodes[room:], copies[room:], x[room:]
+        for d in list(held):
+            yield block(d)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashers = {d: Hasher(d, *p) for d, p in plans.items()}
+        room = np.empty(CHECK_ROWS * CHECK_ROWS, np.float32)  # of one product: new memory for each would take longer than the product
+        last, left = None, ()
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {name: batch.column(name)[r] for name in batch.schema.names}
+                d, block = row["d"].as_py(), row["block"].as_py()
+                if block != last:  # a block meets many others in turn
+                    last, left = block, side(row, "", d)
+                yield from pair(left, left if block == row["block_"].as_py() else side(row, "_", d), hashers[d], room)
+
+    def side(row: dict[str, pa.Scalar], name: str, d: int) -> tuple[np.ndarray, ...]:
+        raw = np.frombuffer(row["x" + name].as_buffer(), f"f{row['width' + name].as_py()}").astype(np.float64).reshape(-1, d)
+        x = _unit(raw)
+        return *(np.frombuffer(row[c + name].as_buffer(), np.int64) for c in ("nodes", "copies")), raw, x, x.astype(np.float32)
+
+    def pair(left: tuple, right: tuple, hasher: Hasher, room: np.ndarray) -> Iterator[pa.RecordBatch]:
+        (left_nodes, left_copies, left_raw, x, single), (right_nodes, right_copies, right_raw, y, other) = left, right
+        d = hasher.dim
+        rough = np.matmul(single, other.T, out=room[: len(x) * len(y)].reshape(len(x), len(y)))
+        least = np.float32(cosine - (d + 8) * 2.0**-23)
+        some = np.flatnonzero(rough.max(axis=1) >= least)
+        i, j = np.nonzero(rough[some] >= least)
+        i = some[i]
+        if left is right:
+            i, j = i[i < j], j[i < j]
+        if not len(i):
+            return
+        rows, at = np.unique(i, return_inverse=True)
+        columns, under = np.unique(j, return_inverse=True)
+        keys = hasher.keys(np.concatenate([x[rows], y[columns]]))
+        apart = _apart(keys[: len(rows)], keys[len(rows) :], at, under)
+        i, j = i[apart], j[apart]
+        near = np.zeros(len(i), bool)
+        for s in range(0, len(i), most := max(1, CHECK_BYTES // (8 * d))):
+            p, q = i[s : s + most], j[s : s + most]
+            cos = (x[p] * y[q]).sum(axis=1)
+            near[s : s + most] = cos >= cosine
+            for k in np.flatnonzero(np.abs(cos - cosine) <= (d + 8) * 2.0**-51):
+                near[s + k] = _reaches(left_raw[p[k]], right_raw[q[k]], cosine)
+        i, j = i[near], j[near]
+        if not len(i):
+            return
+        rows, at = np.unique(i, return_inverse=True)
+        columns, under = np.unique(j, return_inverse=True)
+        link = np.zeros((len(rows), len(columns)), bool)
+        link[at, under] = True
+        stars = _stars(link, left_nodes[rows], right_nodes[columns])
+        a = [star[1:] for star in stars]
+        b = [np.full(len(star) - 1, star[0]) for star in stars]
+        n = [np.zeros(len(star) - 1, np.int64) for star in stars]
+        for nodes, count in ((left_nodes[rows], link @ right_copies[columns]), (right_nodes[columns], left_copies[rows] @ link)):
+            a.append(nodes)
+            b.append(nodes)
+            n.append(count)
+        yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b), "n": np.concatenate(n)})
+
+    blocks = runtime.materialize(classes.select("node", "copies", "v").mapInArrow(pack, "d int, width int, block bigint, nodes binary, copies binary, x binary"))
+    others = blocks.select(*(F.col(c).alias(c + "_") for c in blocks.columns))
+    # Not an equation of lengths: that would deal all blocks of a length to one task.
+    met = blocks.hint("shuffle_replicate_nl").crossJoin(others).where("d - d_ = 0 and block <= block_")
+    return met.mapInArrow(check, LINKS)
+
+
+def _apart(ka: np.ndarray, kb: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Places of the pairs of rows i of ka and j of kb that have no key in common."""
+    left = []
+    for s in range(0, len(i), 1 << 16):
+        at = np.arange(s, min(s + (1 << 16), len(i)))
+        for t in range(ka.shape[1]):
+            at = at[~(ka[i[at], t][:, :, None] == kb[j[at], t][:, None]).any(axis=(1, 2))]
+        left.append(at)
+    return np.concatenate(left)
+
+
+def _stars(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each connected part of two or more, the least first; link[i, j]: left[i] and right[j] are linked. A node may be on both sides."""
+    if link.all():
+        return [np.unique(np.concatenate([left, right]))]
+    stars = []
+    rows, columns = np.ones(len(left), bool), np.ones(len(right), bool)  # not yet in a part
+    for i in range(len(left)):
+        front, star = np.array([i]) if rows[i] else np.zeros(0, np.int64), []
+        while len(front):
+            rows[front] = False
+            met = np.flatnonzero(link[front].any(axis=0) & columns)
+            columns[met] = False
+            star += [left[front], right[met]]
+            front = np.flatnonzero(link[:, met].any(axis=1) & rows)
+        if star:
+            stars.append(np.unique(np.concatenate(star)))
+    return [star for star in stars if len(star) > 1]
+
+
 def _first(link: np.ndarray, ka: np.ndarray, kb: np.ndarray, key: int) -> np.ndarray:
     """Linked pairs whose first common key, by table and then by value, is this group's."""
     fresh = link.copy()

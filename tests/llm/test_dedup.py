@@ -302,6 +302,64 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def found_and_wanted(spark, x, **options):
+    """What near_duplicates() says of the rows of x, and what a comparison of all pairs says."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, **options).collect())
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    home = np.arange(len(x))
+    while True:
+        least = np.minimum(home, np.where(near, home[None], len(x)).min(axis=1))
+        if (least == home).all():
+            return got, list(zip(range(len(x)), near.sum(axis=1).tolist(), home.tolist(), strict=True))
+        home = least
+
+
+@pytest.mark.parametrize("recall", [0.3, 0.985])
+def test_embeddings_without_a_common_key(spark, recall):
+    r = np.random.default_rng(12)
+    a, b = r.normal(size=(2, 1200, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b = 0.9005 * a + np.sqrt(1 - 0.9005**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    got, wanted = found_and_wanted(spark, np.concatenate([a, 3 * b, a[:50]]), recall=recall)
+    assert got == wanted
+
+
+@pytest.mark.parametrize(("dim", "n"), [(1, 20), (2, 300), (3, 2200)])
+def test_short_vectors_lose_no_link(spark, dim, n):
+    got, wanted = found_and_wanted(spark, np.random.default_rng(dim).normal(size=(n, dim)))
+    assert got == wanted
+
+
+def test_cosine_of_the_threshold_itself_links(spark):
+    ten = [[1.0] * 10 + [0.0], [7.0] * 9 + [0.0, 7.0], [0.1] * 8 + [0.0] + [0.1] * 2]
+    less = [1.0] * 9 + [0.0, 1.0 + 2.0**-40]
+    rows = [(i, v) for i, v in enumerate([*ten, [0.0] * 11 + [1.0] * 10, [0.0] * 11 + less])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted((g["vec_id"], g["n_links"], g["component_id"]) for g in got) == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 0, 3), (4, 0, 4)]
+    assert embedding_dedup._reaches(np.array(ten[0]) * 2.0**900, np.array(ten[1]) * 2.0**-1000, 0.9)
+    assert not embedding_dedup._reaches(np.array(ten[0]), np.array(less), 0.9)
+
+
+def test_embedding_stars_keep_every_link():
+    r = np.random.default_rng(3)
+    path = np.zeros((4, 4), bool)
+    for i, j in ((0, 2), (2, 3), (3, 1)):  # the least neighbours alone would part 2 from 3
+        path[i, j] = path[j, i] = True
+    assert {tuple(s.tolist()) for s in embedding_dedup._stars(path | np.eye(4, dtype=bool), np.arange(4), np.arange(4))} == {(0, 1, 2, 3)}
+    for _ in range(50):
+        link = r.random((12, 9)) < 0.12
+        left, right = r.permutation(21)[:12], np.arange(100, 109)
+        pairs = [(i, 12 + j) for i, j in np.argwhere(link)]
+        home = joined(21, pairs)
+        nodes = np.concatenate([left, right])
+        wanted = {tuple(sorted(nodes[i] for i in range(21) if home[i] == h)) for h in set(home[i] for p in pairs for i in p)}
+        assert {tuple(s.tolist()) for s in embedding_dedup._stars(link, left, right)} == wanted
+
+
 def test_embedding_plan_reaches_its_recall():
     tables, parts = embedding_dedup.plan(32, 100_000, 0.9, 0.985)
     r = np.random.default_rng(77)
