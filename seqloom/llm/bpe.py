@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 
 from seqloom import runtime
 from seqloom.llm.texts import Splitter, chunks
+from seqloom.llm.workers import memory
 
 #: Distinct pre-tokens that a worker remembers before it starts afresh (bounds its memory; changes no result).
 CACHE_WORDS = 300_000
@@ -198,7 +199,7 @@ class CachedCodec:
             self.text[w] = " ".join(rules.names[i] for i in ids)
 
 
-_codecs: dict[str, CachedCodec] = {}
+_codecs: dict[str, CachedCodec] = memory("codecs")
 
 
 def codec(path: str) -> CachedCodec:
@@ -307,7 +308,7 @@ class LibraryWords:
         return out
 
 
-_library: dict[str, LibraryWords] = {}
+_library: dict[str, LibraryWords] = memory("library_words")
 
 
 def library_words(path: str) -> LibraryWords:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom import runtime
+from seqloom.llm.workers import map_batches
 
 #: Rows of a block; a task compares at most two blocks at a time.
 BLOCK_ROWS = 4096
@@ -83,7 +84,7 @@ def by_group(rows: DataFrame, keys: list[str], order: list[str], partitions: int
             table = pa.Table.from_batches(held).combine_chunks()
             yield from fn(table, starts_of(table))
 
-    return rows.repartition(partitions, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return map_batches(rows.repartition(partitions, *keys).sortWithinPartitions(*keys, *order), run, schema)
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:

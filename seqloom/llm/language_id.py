@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom import runtime
+from seqloom.llm.workers import map_batches
 
 UNDETERMINED = "und"
 #: Stands before each text in place of context.
@@ -186,7 +187,7 @@ def learn(docs: DataFrame, per_language: int = 200, most_documents: int = 20_000
     chosen: dict[str, list] = {}
     share = {x: min(1.0, 4 * k / n) for x, n in rows.items()}
     while share:
-        bounds = spark.createDataFrame([(x, -(1 << 63) + min(int(f * (1 << 64)), (1 << 64) - 1)) for x, f in share.items()], "lang string, bound bigint")
+        bounds = runtime.small_table(spark, [(x, -(1 << 63) + min(int(f * (1 << 64)), (1 << 64) - 1)) for x, f in share.items()], "lang string, bound bigint")
         near = usable.join(F.broadcast(bounds), "lang").where("h <= bound").groupBy("lang", "doc_id", "h").agg(F.min("mark").alias("mark"), F.min_by("size", "mark").alias("size"))
         found: dict[str, list] = {x: [] for x in share}
         for r in near.collect():
@@ -201,7 +202,7 @@ def learn(docs: DataFrame, per_language: int = 200, most_documents: int = 20_000
                 fits.append((i, x, mark))
                 room -= size
         picked += fits or [(i, x, mark) for _, i, mark, _ in sorted(some, key=lambda v: v[3])[:1]]
-    wanted = spark.createDataFrame(picked, "doc_id bigint, lang string, mark bigint")
+    wanted = runtime.small_table(spark, picked, "doc_id bigint, lang string, mark bigint")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.xxhash64("text").alias("mark"), "text").join(F.broadcast(wanted), ["doc_id", "lang", "mark"])
     out: dict[str, list[bytes]] = {}
     for r in texts.dropDuplicates(["doc_id", "lang", "mark"]).select("lang", "text").collect():
@@ -229,7 +230,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(start, end - start), "held_out": batch.column(2).slice(start, end - start), "lang_pred": pa.array(names, pa.string()), "score": pa.array(score)})
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return map_batches(rows, run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def _judged(m: Model, texts: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
@@ -279,4 +280,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
                     good = [LETTER.search(x or "") is not None for x in batch.column(at).slice(start, end - start).to_pylist()]
                 yield batch.slice(start, end - start).filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

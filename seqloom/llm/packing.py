@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from seqloom import runtime
 from seqloom.llm.bpe import CACHE_CHARS, SPACE, is_latin, library_tokenizer
 from seqloom.llm.texts import Splitter, chunks
+from seqloom.llm.workers import map_batches, memory
 
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Distinct pre-tokens (most with a space in front, so twice the words) that a worker remembers before it starts afresh; changes no result.
@@ -110,7 +111,7 @@ class ByteEncoder:
         return np.frombuffer(self.raw([text])[0], "<u4")
 
 
-_encoders: dict[tuple[str, bool], ByteEncoder] = {}
+_encoders: dict[tuple[str, bool], ByteEncoder] = memory("byte_encoders")
 
 
 def byte_encoder(path: str, special: bool = True) -> ByteEncoder:
@@ -151,7 +152,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, kee
                     columns["ids"] = pa.array(raw, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint" + (", ids array<int>" if keep else ""))
+    return map_batches(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint" + (", ids array<int>" if keep else ""), "byte_encoders")
 
 
 def plan_bins(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -258,7 +259,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     base = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = cut.join(base, ["task", "length"]).withColumn("rank", F.col("base") + F.col("rank"))
     # At most some tens of records a length, whatever the input: the plan is sent to every task.
-    plan = spark.createDataFrame(records or [(0, 0, 0, 0, 1, 0)], "size bigint, low bigint, high bigint, bin bigint, each bigint, at bigint")
+    plan = runtime.small_table(spark, records or [(0, 0, 0, 0, 1, 0)], "size bigint, low bigint, high bigint, bin bigint, each bigint, at bigint")
     place = F.col("rank") - F.col("low")
     fits = (ranked["length"] == plan["size"]) & (ranked["rank"] >= plan["low"]) & (ranked["rank"] < plan["high"])
     out = ranked.join(F.broadcast(plan), fits)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from seqloom import runtime
 from seqloom.llm.groups import blocked, by_group, components, least_ids, split_hot
 from seqloom.llm.texts import chunks
+from seqloom.llm.workers import map_batches
 
 SEED = 42
 #: Groups of up to so many rows are compared by shifted arrays, all groups of a batch at once.
@@ -117,7 +118,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id bigint, mark binary, fingerprint " + ("bigint" if words == 1 else "binary, content binary, few array<bigint>")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_mark(F.col("text")).alias("mark")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_mark(F.col("text")).alias("mark")), run, schema)
 
 
 def block_keys(fp: Column, distance: int, blocks: int) -> Column:
@@ -208,7 +209,7 @@ def sampled_keys(classes: DataFrame, bits: int, tables: int, length: int, alone:
                 rows = np.tile(np.arange(part.num_rows), tables)
                 yield pa.RecordBatch.from_pydict({"key": keys.reshape(-1).view(np.int64), "node": part.column(0).take(pa.array(rows)), "fingerprint": part.column(1).take(pa.array(rows))})
 
-    return classes.select("node", "fingerprint").mapInArrow(run, "key bigint" + ("" if alone else ", node bigint, fingerprint binary"))
+    return map_batches(classes.select("node", "fingerprint"), run, "key bigint" + ("" if alone else ", node bigint, fingerprint binary"))
 
 
 def wide_plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
@@ -303,7 +304,7 @@ def verified(docs: DataFrame, rows: DataFrame, classes: DataFrame, near: DataFra
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
     texts = docs.select(text_mark(F.col("text")).alias("mark"), "text").join(wanted, "mark").select("node", "component", "parts", "text")
-    sets = texts.mapInArrow(run, "component bigint, lo int, hi int, node bigint, shingles binary")
+    sets = map_batches(texts, run, "component bigint, lo int, hi int, node bigint, shingles binary")
     partitions = max(runtime.partitions_for(wanted, 1 << 17), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return by_group(sets, ["component", "lo", "hi"], [], partitions, lambda t, s: set_links(t, s, similarity), "a bigint, b bigint")
 

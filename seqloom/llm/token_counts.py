@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from seqloom import runtime
 from seqloom.llm.packing import PATTERN, byte_encoder
 from seqloom.llm.texts import Splitter, chunks
+from seqloom.llm.workers import memory
 
 SPLIT = Splitter(PATTERN)
 #: Pre-tokens of a new leaf; a leaf that edits have grown to four times that makes the tree be built anew.
@@ -33,7 +34,7 @@ CACHE_WORDS, CACHE_CHARS = 300_000, 8_000_000
 #: Pre-tokens of more characters are not remembered.
 LONG = 200
 
-_counts: dict[str, dict[str, int]] = {}
+_counts: dict[str, dict[str, int]] = memory("token_counts")
 
 
 class Counter:

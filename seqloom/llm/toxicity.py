@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from seqloom import runtime
 from seqloom.llm.texts import chunks
+from seqloom.llm.workers import map_batches, memory
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -176,7 +177,7 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((q[i] + (q[i + 1] if i + 1 < len(q) else 0)) / 2)
 
 
-_words: dict[tuple, dict[str, tuple[int, ...]]] = {}
+_words: dict[tuple, dict[str, tuple[int, ...]]] = memory("toxicity")
 
 
 def _vectors(chain: Chain, texts: list[str], key: tuple) -> np.ndarray:
@@ -225,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most:
         if r["size"] <= room:
             picked.append((r["doc_id"], r["mark"]))
             room -= r["size"]
-    wanted = docs.sparkSession.createDataFrame(picked, "doc_id bigint, mark bigint").join(sample, "doc_id")
+    wanted = runtime.small_table(docs.sparkSession, picked, "doc_id bigint, mark bigint").join(sample, "doc_id")
     rows = docs.select(doc_id, mark, F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), ["doc_id", "mark"]).dropDuplicates(["doc_id"])
     runtime.ship(docs.sparkSession)
 
@@ -242,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most:
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "hashes": pa.array(hashes, pa.list_(pa.int64())), "shape": pa.array(shape, pa.list_(pa.float64()))} | {f"y{i}": part.column(2 + i) for i in range(n)})
 
     kinds = "doc_id bigint, hashes array<bigint>, shape array<double>" + "".join(f", y{i} int" for i in range(n))
-    got = rows.select("doc_id", "text", *[f"y{i}" for i in range(n)]).mapInArrow(run, kinds).toArrow()
+    got = map_batches(rows.select("doc_id", "text", *[f"y{i}" for i in range(n)]), run, kinds).toArrow()
     got = got.combine_chunks().sort_by("doc_id")  # folds do not depend on the tasks
     y = np.column_stack([got.column(f"y{i}").to_numpy() for i in range(n)]) if got.num_rows else np.zeros((0, n), int)
     hashes = got.column("hashes").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
@@ -273,7 +274,7 @@ def classify(docs: DataFrame, chain: Chain) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(columns | {x: pa.array(p[:, k] >= limits[k]) for k, x in enumerate(names)})
 
     kinds = "doc_id bigint" + "".join(f", p_{x} double" for x in names) + "".join(f", {x} boolean" for x in names)
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, kinds)
+    return map_batches(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, kinds, "toxicity")
 
 
 #: Chain order: how poor a text is, then whether it is toxic.
@@ -303,4 +304,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 p = c.predict(_vectors(c, texts, key))[:, toxic]
                 yield batch.slice(a, b - a).filter(pa.array(p < c.thresholds[toxic]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema, "toxicity")

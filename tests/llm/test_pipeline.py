@@ -70,3 +70,34 @@ def test_stages_on_empty_and_odd_tables(spark, sf_dir, odd_docs, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, sf_dir).count() == 0
         stage(spark, odd_docs, sf_dir).collect()
+
+
+def test_a_worker_remembers_one_operator_at_a_time(spark, odd_docs, monkeypatch):
+    """Memories of words add up beside the executor's heap: a later stage's task empties those of the stages before it."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from seqloom.llm import packing, simhash, toxicity, workers
+
+    tasks = []
+    monkeypatch.setattr(type(odd_docs), "mapInArrow", lambda self, run, schema: tasks.append(run) or self)
+    simhash.fingerprints(odd_docs)
+    workers.map_batches(odd_docs, lambda batches: batches, odd_docs.schema, "byte_encoders")
+    marked, packed = tasks
+    packing.byte_encoder(public_tokenizers.path("byte_bpe_50k.json")).raw([prose(1, 100)])
+    toxicity._words["drop", 0] = {"word": (1,)}
+    list(packed(iter([])))
+    assert packing._encoders and not toxicity._words  # its own stays
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": pa.array(["some text", None]), "mark": pa.array([b"a", b"b"])})
+    (out,) = marked(iter([batch]))
+    assert out.num_rows == 2 and not packing._encoders
+
+
+def test_small_tables_need_no_python_worker(spark):
+    from seqloom import runtime
+
+    rows = [(1, "a", None), (-(1 << 63), "é\0", 2), (None, None, 3)]
+    made = runtime.small_table(spark, rows, "i bigint, s string, n int")
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(rows, key=str) and made.dtypes == [("i", "bigint"), ("s", "string"), ("n", "int")]
+    assert "LocalRelation" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert runtime.small_table(spark, [], "i bigint").collect() == []
